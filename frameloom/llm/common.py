@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.sources.shipping import ship
+
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -51,6 +53,18 @@ def bucket_count(df: DataFrame, bytes_each: int) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
+def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
+    """mapInArrow whose workers can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
+def group_arrow(df: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """applyInArrow for each value of key, whose workers can import this package."""
+    ship(df.sparkSession)
+    return df.groupBy(key).applyInArrow(work, schema)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import ASCII_SPACE, materialize, text_or_empty
+from frameloom.llm.common import ASCII_SPACE, map_arrow, materialize, text_or_empty
 
 #: Counters of each partition's summary. A digest of more than 2 / COUNTERS of all rows is always a candidate,
 #: and no more than COUNTERS + 2 digests ever are.
@@ -68,7 +68,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("no_id"), "id", "row"))
     grouped = [F.count("*").alias("group_size"), first.alias("first")]
 
-    summaries = slim.select("digest").mapInArrow(_summaries(counters), "digest binary, n bigint")
+    summaries = map_arrow(slim.select("digest"), _summaries(counters), "digest binary, n bigint")
     least = max(2.0, 2.0 * rows / counters - rows / (counters + 1.0))
     candidates = summaries.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("digest")
     winners = materialize(slim.join(F.broadcast(candidates), "digest").groupBy("digest").agg(*grouped), "exact-winners")

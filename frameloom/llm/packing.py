@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from frameloom.llm.common import map_arrow
 from frameloom.llm.word_cache import ChunkCache
 
 CAPACITY = 2048
@@ -124,6 +125,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for at in range(0, len(keys), 500):
                 part = [t or "" for t in texts[at : at + 500].to_pylist()]
                 for key, got in zip(keys[at : at + 500], cache.texts(part), strict=True):
+                    got = b"".join(got)
                     block.append((key, got + end))
                     size += len(got) // 4 + 1
                     if size >= BLOCK_TOKENS or len(block) >= BLOCK_DOCS:
@@ -134,5 +136,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield pack_block(block, seq, capacity)[0]
 
     out = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    packed = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string")).mapInArrow(run, out)
+    packed = map_arrow(docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string")), run, out)
     return packed.withColumnRenamed("doc_id", id_col)

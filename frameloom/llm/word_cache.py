@@ -15,14 +15,14 @@ _CLEAN_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 class ChunkCache:
-    """encode: chunks to one bytes object of ids each. limit: entries after which the cache starts anew."""
+    """encode: one value, such as the ids' bytes, for each chunk. limit: entries after which the cache starts anew."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 500_000):
         self.encode, self.limit = encode, limit
-        self.inner: dict[str, bytes] = {}
+        self.inner: dict = {}
 
-    def texts(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text, as bytes; whole texts, however long."""
+    def texts(self, texts: Iterable[str]) -> list[list]:
+        """The values of each text's chunks in order; whole texts, however long."""
         split = [_CLEAN_BLANK.split(t) if _TWO_SPACES.search(t) else t.split(" ") for t in texts]
         heads = {s[0] for s in split}
         wanted: set[str] = set()
@@ -38,4 +38,4 @@ class ChunkCache:
         first = list(heads)
         head = dict(zip(first, self.encode(first), strict=True))
         look = self.inner.__getitem__
-        return [head[s[0]] + b"".join(map(look, s[1:])) for s in split]
+        return [[head[s[0]], *map(look, s[1:])] for s in split]
