@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import bpe, exact_dedup, packing, quality, url_filter
+from frameloom.llm import bpe, exact_dedup, hmm, packing, quality, url_filter
 from frameloom.llm.common import read_table
 
 #: The rules of the url query.
@@ -20,6 +20,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -33,7 +37,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op6_quality, op7_packing, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op6_quality, op7_packing, op9_url_filter)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
