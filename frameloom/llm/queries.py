@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import bpe, exact_dedup, hmm, packing, quality, url_filter
+from frameloom.llm import bpe, exact_dedup, hmm, html_extract, packing, quality, url_filter
 from frameloom.llm.common import read_table
 
 #: The rules of the url query.
@@ -32,12 +32,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op6_quality, op7_packing, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op6_quality, op7_packing, op8_html_text, op9_url_filter)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
