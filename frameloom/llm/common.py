@@ -43,8 +43,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a file scan that is the size of the files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(size, 1 << 60)
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
 
 
 def bucket_count(df: DataFrame, bytes_each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import bpe, exact_dedup, hmm, html_extract, packing, quality, url_filter
+from frameloom.llm import bpe, exact_dedup, hmm, html_extract, ngram_join, packing, quality, url_filter
 from frameloom.llm.common import read_table
 
 #: The rules of the url query.
@@ -41,7 +41,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op6_quality, op7_packing, op8_html_text, op9_url_filter)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op6_quality, op7_packing, op8_html_text, op9_url_filter, op10_ngram_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
