@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import bpe, exact_dedup, hmm, html_extract, ngram_join, packing, quality, url_filter
+from frameloom.llm import bpe, exact_dedup, hmm, html_extract, ngram_join, packing, quality, suffix_dedup, url_filter
 from frameloom.llm.common import read_table
 
 #: The rules of the url query.
@@ -24,6 +24,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op6_quality, op7_packing, op8_html_text, op9_url_filter, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op5_suffix_dedup, op6_quality, op7_packing, op8_html_text, op9_url_filter, op10_ngram_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
