@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import bpe, exact_dedup, hmm, html_extract, ngram_join, packing, quality, suffix_dedup, url_filter
+from frameloom.llm import bpe, exact_dedup, hmm, html_extract, ngram_join, packing, quality, suffix_dedup, url_filter, vector_dedup
 from frameloom.llm.common import read_table
 
 #: The rules of the url query.
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,7 +53,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_lm_score, op5_suffix_dedup, op6_quality, op7_packing, op8_html_text, op9_url_filter, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_vector_dedup, op3_byte_bpe, op4_lm_score, op5_suffix_dedup, op6_quality, op7_packing, op8_html_text, op9_url_filter, op10_ngram_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
