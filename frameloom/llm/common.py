@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from frameloom.sources.shipping import ship
 
@@ -52,7 +53,7 @@ def bucket_count(df: DataFrame, bytes_each: int) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
-def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, work, schema: str | StructType) -> DataFrame:
     """mapInArrow whose workers can import this package."""
     ship(df.sparkSession)
     return df.mapInArrow(work, schema)

@@ -119,7 +119,7 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     out = []
     for space in (band(n), band(n) + 1):
         limit, m = plan(space)
-        tag = np.uint64(space + 1) * _TAG
+        tag = np.uint64((space + 1) * int(_TAG) % (1 << 64))
         if m == 0:
             total = own.sum(dtype=np.uint64)
             sets = np.append(total - own, total) if n > TOP // (BOTTOM - TOP) else np.array([total])
@@ -359,3 +359,13 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         classes.join(roots, classes["key"] == roots["node"], "left_anti").select("key", F.col("rep").alias("component")))
     return rows.select("id", "key", F.col("size").alias("n_shingles")).join(of_key, "key", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that cluster gives their own id as component, with all their columns.
+
+    Rows that repeat an id are kept or dropped together.
+    """
+    name = "__kept_id"
+    kept = cluster(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")

@@ -237,3 +237,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score gives threshold or more, with all their columns, in one pass without a shuffle."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                p = predict(model, [(t or "").encode() for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(p >= threshold))
+
+    return map_arrow(docs, run, docs.schema)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from frameloom.llm.common import bucket_count, group_arrow, map_arrow, materialize
 
@@ -118,33 +119,37 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
-BLOCK_TYPES = (np.int64, np.uint8, np.int64, np.uint8)  # ids, id is null, lengths, bytes
+BLOCK_TYPES = (np.int64, np.uint8, np.int64, np.uint8, np.int64, np.uint8)  # ids, id is null, lengths, bytes, lengths and bytes carried along
 
 
 def to_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """block, data: whole documents packed in blocks, in one written table."""
+    """block, data: whole documents packed in blocks, their other columns with them, in one written table."""
     def run(batches):
-        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        block, ids, texts, others, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def flush():
             known = np.array([i is not None for i in ids], np.uint8)
             values = np.array([0 if i is None else i for i in ids], np.int64)
-            blob = packed(values, 1 - known, np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+            flat = [x for part in (texts, others) for x in (np.array([len(t) for t in part], np.int64), np.frombuffer(b"".join(part), np.uint8))]
+            blob = packed(values, 1 - known, *flat)
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], names=["block", "data"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                for i, t in zip(*(batch.column(c)[at : at + 200].to_pylist() for c in (0, 1)), strict=True):
+                for i, t, other in zip(*(batch.column(c)[at : at + 200].to_pylist() for c in range(3)), strict=True):
                     ids.append(i)
                     texts.append(t or b"")
-                    size += len(texts[-1])
+                    others.append(other)
+                    size += len(texts[-1]) + len(other)
                     if size >= BLOCK_BYTES:
                         yield flush()
-                        block, ids, texts, size = block + 1, [], [], 0
+                        block, ids, texts, others, size = block + 1, [], [], [], 0
         if ids:
             yield flush()
 
-    source = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string").cast("binary"))
+    rest = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
+    other = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("{}")
+    source = docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string").cast("binary"), other.cast("binary"))
     return materialize(map_arrow(source, run, "block bigint, data binary"), "suffix-blocks")
 
 
@@ -152,7 +157,7 @@ class Block:
     """The documents of a block and their runs."""
 
     def __init__(self, blob: bytes):
-        ids, missing, self.length, self.data = unpacked(blob, *BLOCK_TYPES)
+        ids, missing, self.length, self.data, _, _ = unpacked(blob, *BLOCK_TYPES)
         self.ids, self.missing = ids, missing.astype(bool)
         self.rank = np.where(self.missing, NO_ID, ids)
         self.begin = np.cumsum(self.length) - self.length
@@ -401,7 +406,7 @@ def _settle(table: pa.Table) -> pa.Table:
 def _cut(table: pa.Table) -> pa.Table:
     """Of a block: each document's removed runs, as starts and lengths, and its bytes without them."""
     kind, data = table["kind"].to_pylist(), table["data"].to_pylist()
-    ids, missing, length, text = unpacked(next(d for k, d in zip(kind, data, strict=True) if k == 0), *BLOCK_TYPES)
+    ids, missing, length, text, other_length, others = unpacked(next(d for k, d in zip(kind, data, strict=True) if k == 0), *BLOCK_TYPES)
     missing = missing.astype(bool)
     rank, begin = np.where(missing, NO_ID, ids), np.cumsum(length) - length
     change = np.zeros(len(text) + 1, np.int32)
@@ -434,19 +439,21 @@ def _cut(table: pa.Table) -> pa.Table:
         cols[1].append(s)
         cols[2].append(e - s)
         cols[3].append(keep[kept_before[at] : kept_before[at + n]])
+    raw, ends = others.tobytes(), np.cumsum(other_length)
+    carried = [raw[e - n : e] for n, e in zip(other_length.tolist(), ends.tolist(), strict=True)]
     return pa.table([
-        pa.array(ids, pa.int64(), mask=missing), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()),
-    ], names=["id", "n_bytes", "starts", "lengths", "kept"])
+        pa.array(ids, pa.int64(), mask=missing), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(carried, pa.binary()),
+    ], names=["id", "n_bytes", "starts", "lengths", "kept", "others"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """<id_col>, n_bytes, starts, lengths, kept for every row of docs.
+    """<id_col>, n_bytes, starts, lengths, kept, others for every row of docs.
 
     starts and lengths are the maximal runs of removed bytes, kept the bytes that are left. Removed is each byte
     covered by a WINDOW-byte string that also starts in a document with a smaller id, judged on the input; matches
     never cross documents. Null text is empty. Ids may repeat (such rows leave each other alone) or be null (a
-    null id is larger than any other). An empty table gives no rows; other columns are ignored. Bytes are those of
-    the text in UTF-8, and a cut may fall inside a character.
+    null id is larger than any other). An empty table gives no rows; the other columns are carried along as JSON in
+    others. Bytes are those of the text in UTF-8, and a cut may fall inside a character.
     """
     buckets = bucket_count(docs, BUCKET_BYTES)
     blocks = to_blocks(docs, id_col, text_col)
@@ -456,7 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         as_kind(blocks, 0).unionByName(as_kind(hits, 1)), "block", _fragments(buckets), "kind int, bucket int, block bigint, data binary"), "suffix-fragments")
     settled = group_arrow(parts.where("kind = 1").select("bucket", "block", "data"), "bucket", _settle, "block bigint, data binary")
     together = as_kind(blocks, 0).unionByName(as_kind(parts.where("kind = 2"), 2)).unionByName(as_kind(settled, 3))
-    found = group_arrow(together, "block", _cut, "id bigint, n_bytes bigint, starts array<bigint>, lengths array<bigint>, kept binary")
+    found = group_arrow(together, "block", _cut, "id bigint, n_bytes bigint, starts array<bigint>, lengths array<bigint>, kept binary, others binary")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -465,3 +472,31 @@ def digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return removed.select(
         id_col, "n_bytes", total.alias("n_removed"), F.size("lengths").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """Every row of docs with its text less what remove_repeats removes; broken characters at a cut go too.
+
+    chars_col, where docs has it, becomes the length of what is left.
+    """
+    rest = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
+
+    def decode(batches):
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2).cast(pa.string())], names=["id", "text", "others"])
+
+    found = map_arrow(remove_repeats(docs, id_col, text_col).select(id_col, "kept", "others"), decode, "id bigint, text string, others string")
+    if rest:
+        found = found.withColumn("others", F.from_json("others", StructType(rest)))
+    columns = []
+    for f in docs.schema.fields:
+        if f.name == id_col:
+            columns.append(F.col("id").cast(f.dataType).alias(id_col))
+        elif f.name == text_col:
+            columns.append(F.col("text").alias(text_col))
+        elif f.name == chars_col:
+            columns.append(F.char_length("text").cast(f.dataType).alias(chars_col))
+        else:
+            columns.append(F.col("others").getField(f.name).alias(f.name))
+    return found.select(*columns)
