@@ -58,6 +58,11 @@ def deltas(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session").applyInPandasWithState(run, COMMANDS, "emitted string, generation long, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
+def timed(df: DataFrame) -> DataFrame:
+    """Event time with a zone, as watermarks need it; times without one are the session's."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def pending(partials: DataFrame) -> DataFrame:
     """Recognised text that waits for a query: rows without text ask nothing."""
     return partials.where(F.trim(F.coalesce("text", F.lit(""))) != "")
@@ -65,17 +70,17 @@ def pending(partials: DataFrame) -> DataFrame:
 
 def tick_windows(events: DataFrame, length: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Extension: events of each type in event-time windows; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Extension: each user's events until a pause."""
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(
+    return timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(
         "user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def restart_counts(restarts: DataFrame, most: int = 5) -> DataFrame:
     """Whether a session may restart: at most so many restarts in two seconds."""
-    return restarts.withWatermark("ts", "10 seconds").groupBy("session", F.window("ts", "2 seconds", "500 milliseconds").alias("w")).agg(
+    return timed(restarts).withWatermark("ts", "10 seconds").groupBy("session", F.window("ts", "2 seconds", "500 milliseconds").alias("w")).agg(
         F.count("*").alias("n")).select("session", F.col("w.start").alias("start"), (F.col("n") <= most).alias("allowed"))
