@@ -42,9 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Catalyst's way to say that it doesn't know a size is one beyond this.
+UNKNOWN_BYTES = 1 << 53
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for a file scan that is the size of the files."""
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+    """Catalyst's size estimate, for a file scan the size of the files; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else 0
 
 
 def bucket_count(df: DataFrame, bytes_each: int) -> int:
