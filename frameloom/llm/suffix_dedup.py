@@ -12,6 +12,7 @@ of WINDOW bytes or more are the copies of one window; the smallest document amon
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
@@ -259,9 +260,7 @@ def _fragments(buckets: int):
 
 
 class ExternalRuns:
-    """The transform so far, in files of this task: symbol before each suffix, common prefix, owner, and start."""
-
-    TYPES = (np.uint8, np.uint8, np.int32, np.uint8)
+    """The transform so far, in files of this task: the symbol before each suffix, and its common prefix with the last."""
 
     def __init__(self, folder: str):
         self.folder, self.turn, self.rows = folder, 0, 0
@@ -272,16 +271,18 @@ class ExternalRuns:
     def start(self, columns: list[np.ndarray]) -> None:
         self.rows = len(columns[0])
         for c, x in enumerate(columns):
-            x.astype(self.TYPES[c]).tofile(self._name(c, self.turn))
+            x.astype(np.uint8).tofile(self._name(c, self.turn))
 
     def column(self, c: int) -> np.ndarray:
-        return np.fromfile(self._name(c, self.turn), self.TYPES[c])
+        return np.fromfile(self._name(c, self.turn), np.uint8, self.rows)
 
     def merge(self, place: np.ndarray, new: list[np.ndarray], prefix_at: np.ndarray, prefix: np.ndarray) -> None:
         """One sequential pass: new rows get the places given, then the common prefixes at prefix_at are set."""
         total = self.rows + len(place)
-        sources = [open(self._name(c, self.turn), "rb") for c in range(4)]
-        targets = [open(self._name(c, self.turn + 1), "wb") for c in range(4)]
+        sources = [open(self._name(c, self.turn), "rb") for c in range(2)]
+        # Written over in place: to cut a file off first makes some file systems wait for the disk when it is closed.
+        names = [self._name(c, self.turn + 1) for c in range(2)]
+        targets = [open(n, "r+b" if os.path.exists(n) else "wb") for n in names]
         try:
             for low in range(0, total, MERGE_ROWS):
                 high = min(total, low + MERGE_ROWS)
@@ -289,9 +290,9 @@ class ExternalRuns:
                 old = np.ones(high - low, bool)
                 old[place[i:j] - low] = False
                 count = int(old.sum())
-                for c in range(4):
-                    x = np.empty(high - low, self.TYPES[c])
-                    x[old] = np.fromfile(sources[c], self.TYPES[c], count)
+                for c in range(2):
+                    x = np.empty(high - low, np.uint8)
+                    x[old] = np.fromfile(sources[c], np.uint8, count)
                     x[place[i:j] - low] = new[c][i:j]
                     if c == 1:
                         p, q = np.searchsorted(prefix_at, (low, high))
@@ -315,16 +316,19 @@ def sort_collection(text: np.ndarray, length: np.ndarray, folder: str) -> Extern
     strings, begin = len(length), np.cumsum(length) - length
     symbols = text + np.uint8(1)  # 0 is the end of a string
     ext = ExternalRuns(folder)
-    ext.start([symbols[begin + length - 1], np.zeros(strings), np.arange(strings), length])
+    ext.start([symbols[begin + length - 1], np.zeros(strings)])
     active = place = np.arange(strings)  # strings that have symbols left, by the place of their latest suffix
     at = length.copy()  # start of each string's latest suffix
     for _ in range(int(length.max(initial=0))):
         before, common = ext.column(0), ext.column(1)
         order = np.argsort(before, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         ends = int(np.count_nonzero(before == 0))
-        symbol, mine = before[place], rank[place]
+        line = np.argsort(before[place], kind="stable")  # by symbol and place, so in the order of the new suffixes
+        active, place = active[line], place[line]
+        symbol = before[place]
+        marked = np.zeros(len(order), bool)
+        marked[place] = True
+        mine = np.flatnonzero(marked[order])
         to = strings + mine - ends
         padded = np.append(common, np.uint8(0))
 
@@ -341,21 +345,33 @@ def sort_collection(text: np.ndarray, length: np.ndarray, folder: str) -> Extern
         at[active] -= 1
         start = at[active]
         new_before = np.where(start > 0, symbols[begin[active] + np.maximum(start - 1, 0)], 0).astype(np.uint8)
-        line = np.argsort(to)
-        to, active = to[line], active[line]
-        with_last, with_next, has_next = with_last[line], with_next[line], has_next[line]
-        ext.merge(to, [new_before[line], with_last, active, start[line]], to[has_next] + 1, with_next[has_next])
+        ext.merge(to, [new_before, with_last], to[has_next] + 1, with_next[has_next])
         going = at[active] > 0
         active, place = active[going], to[going]
     return ext
 
 
+def owners_of(before: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and start of each suffix: all strings walk the finished transform from their ends to their starts."""
+    order = np.argsort(before, kind="stable")
+    step = np.empty(len(order), np.int64)
+    step[order] = np.arange(len(order))  # as many ends as strings, so a symbol's rank is its suffix's place
+    owner, start = np.empty(len(order), np.int32), np.empty(len(order), np.uint8)
+    place, string, at = np.arange(len(length)), np.arange(len(length)), length.copy()
+    while len(place):
+        owner[place], start[place] = string, at
+        going = at > 0
+        place, string, at = step[place[going]], string[going], at[going] - 1
+    return owner, start
+
+
 def window_owners(text: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For each window of each fragment, in order, the smallest rank among all fragments that hold it."""
     with tempfile.TemporaryDirectory(prefix="frameloom-bwt-") as folder:
         length = windows.astype(np.int64) + WINDOW - 1
         ext = sort_collection(text, length, folder)
-        common, owner, start = ext.column(1), ext.column(2), ext.column(3).astype(np.int64)
+        common, (owner, start) = ext.column(1), owners_of(ext.column(0), length)
+    start = start.astype(np.int64)
     group = np.flatnonzero(common < WINDOW)
     least = np.minimum.reduceat(rank[owner], group)
     least = np.repeat(least, np.diff(np.append(group, len(common))))
