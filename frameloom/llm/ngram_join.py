@@ -9,8 +9,9 @@ is one at most have a single segment and its one-deletion neighbourhood instead.
 candidates, and candidates are verified on their words.
 
 Only connections count here, not pairs, so large groups of candidates are first held against their smallest
-member. What that leaves apart is then paired within the group, unless the distances to that member (Jaccard
-distance is a metric) or the sets' parity sketches rule a link out.
+member. Groups that this leaves in several components are gone through once more: their members' parity sketches
+are compared in blocks of bounded size, and pairs of different components that the sketches can't rule out are
+verified too.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ TOP, BOTTOM = 80, 100
 RATIO = BOTTOM / TOP
 #: Groups of candidates up to this size are paired at once; larger ones go by their smallest member first.
 SMALL_GROUP = 24
+#: Members of a large group that one task compares with as many others.
+BLOCK = 4096
 #: Partners of one text that one part verifies.
 PARTNERS = 256
 #: Input bytes for each bucket of signatures.
@@ -211,7 +214,9 @@ def index_blobs(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
 
 def candidate_pairs(sig: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs (smaller uid, larger uid, star) of uids under one signature; star: by the smallest of a large group."""
+    """Rows a, b, kind. Kind 0: a distinct pair of uids under one signature, of large groups only those with their smallest.
+    Kind 1: a large group's signature and a member's uid.
+    """
     order = np.lexsort((uid, sig))
     sig, uid = sig[order], uid[order]
     new = np.ones(len(sig), bool)
@@ -219,28 +224,24 @@ def candidate_pairs(sig: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.nd
     sig, uid = sig[new], uid[new]
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(sig)))
-    a, b, star = [], [], []
+    a, b = [], []
     for k in np.unique(size[(size > 1) & (size <= SMALL_GROUP)]):
         rows = uid[start[size == k][:, None] + np.arange(k)]
         i, j = np.triu_indices(k, 1)
         a.append(rows[:, i].ravel())
         b.append(rows[:, j].ravel())
-        star.append(np.zeros(len(a[-1]), np.int8))
-    large = size > SMALL_GROUP
-    if large.any():
-        count = size[large] - 1
-        first = np.repeat(start[large], count)
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        a.append(uid[first])
-        b.append(uid[first + 1 + nth])
-        star.append(np.ones(len(first), np.int8))
-    if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)
-    a, b, star = np.concatenate(a), np.concatenate(b), np.concatenate(star)
-    order = np.lexsort((-star, b, a))
-    a, b, star = a[order], b[order], star[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return a[new], b[new], star[new]
+    count = size * (size > SMALL_GROUP)
+    first = np.repeat(start, count)
+    member = uid[first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    a, b = np.concatenate([*a, uid[first]]), np.concatenate([*b, member])
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(member), np.int32)])
+    return np.concatenate([a, sig[first].astype(np.int64)]), np.concatenate([b, member]), kind
 
 
 def _match(table: pa.Table) -> pa.Table:
@@ -253,8 +254,33 @@ def _match(table: pa.Table) -> pa.Table:
         high = np.frombuffer(blob, np.uint8, n, at + 4 * n).astype(np.uint64)
         sigs.append(high << _32 | low)
         uids.append(named[np.frombuffer(blob, np.uint16, n, at + 5 * n)])
-    a, b, star = candidate_pairs(np.concatenate(sigs), np.concatenate(uids))
-    return pa.table([a, b, star.astype(np.int32)], names=["a", "b", "star"])
+    bucket = table["bucket"][0].as_py()
+    a, b, kind = candidate_pairs(np.concatenate(sigs), np.concatenate(uids))
+    return pa.table([pa.array([bucket] * len(a), pa.int32()), pa.array(a), pa.array(b), pa.array(kind)], names=["bucket", "a", "b", "kind"])
+
+
+def _sketched_pairs(table: pa.Table) -> pa.Table:
+    """Of a block of a large group: pairs of different components that sizes and sketches allow to be links."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    part, root, n = table["part"].to_numpy(), np.array(table["root"].to_pylist(), object), table["n"].to_numpy()
+    sketch = np.array(table["s"].to_pylist(), np.int64).view(np.uint64)  # of a signed number, numpy counts the absolute value's bits
+    key = np.array(table["key"].to_pylist(), object)
+    _, root = np.unique(root, return_inverse=True)
+    rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(rows), 32):
+        x = rows[at : at + 32]
+        differing = np.bitwise_count(sketch[x][:, None, :] ^ sketch[columns][None, :, :]).sum(2, dtype=np.int64)
+        total = n[x][:, None] + n[columns][None, :]
+        ok = (root[x][:, None] != root[columns][None, :]) & (differing * (BOTTOM + TOP) <= total * (BOTTOM - TOP))
+        ok &= np.minimum(n[x][:, None], n[columns]) * BOTTOM >= np.maximum(n[x][:, None], n[columns]) * TOP
+        p, q = np.nonzero(ok)
+        p, q = x[p], columns[q]
+        once = p < q if i == j else np.ones(len(p), bool)
+        left.append(p[once])
+        right.append(q[once])
+    a, b = key[np.concatenate(left)].tolist(), key[np.concatenate(right)].tolist()
+    return pa.table([pa.array(map(min, a, b), pa.binary()), pa.array(map(max, a, b), pa.binary())], names=["a", "b"])
 
 
 def plausible(pairs: DataFrame) -> DataFrame:
@@ -322,34 +348,28 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = describe(docs, id_col, text_col)
     classes = materialize(rows.where("key IS NOT NULL").groupBy("key", "uid").agg(
         F.min("id").alias("rep"), F.first("size").alias("n"), F.first("sketch").alias("s")), "ngram-reps")
-    found = group_arrow(index_blobs(docs, text_col, buckets), "bucket", _match, "a bigint, b bigint, star int")
-    found = found.groupBy("a", "b").agg(F.max("star").alias("star"))
+    found = materialize(group_arrow(index_blobs(docs, text_col, buckets), "bucket", _match, "bucket int, a bigint, b bigint, kind int"), "ngram-found")
+    pairs = found.where("kind = 0").select("a", "b").distinct()
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("uid").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
 
-    named = plausible(found.join(side("a"), "a").join(side("b"), "b").where("ka <> kb"))
-    named = materialize(named.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "star", "open"), "ngram-pairs")
-    checked = verify(named.where("open").select("a", "b"), docs, classes, id_col, text_col)
+    named = plausible(pairs.join(side("a"), "a").join(side("b"), "b").where("ka <> kb")).where("open")
+    named = materialize(named.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "ngram-pairs")
     is_link = F.col("inter") * BOTTOM >= (F.col("na") + F.col("nb") - F.col("inter")) * TOP
-    links = checked.where(is_link).select("a", "b")
-    roots = connected_components(links)
-
-    star = named.where("star = 1")
-    if star.take(1):
-        root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        distance = checked.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-        members = star.select("a", "b").join(distance, ["a", "b"], "left").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        members = materialize(members.select(
-            F.col("a").alias("pivot"), F.col("b").alias("x"), "d", F.coalesce("root_a", "a").alias("pivot_root"), F.coalesce("root_b", "b").alias("root")), "ngram-members")
-        apart = members.where("root <> pivot_root").select("pivot", F.col("x").alias("y"), F.col("d").alias("e"), F.col("root").alias("other"))
-        # No link is possible where the distances to the pivot differ by more than a link's distance.
-        near = F.coalesce(F.abs(F.col("d") - F.col("e")) <= 1 - TOP / BOTTOM + 1e-9, F.lit(True))
-        more = members.join(apart, "pivot").where(F.col("root") != F.col("other")).where(near)
-        more = more.select(F.least("x", "y").alias("ka"), F.greatest("x", "y").alias("kb")).distinct()
-        sized = lambda x: classes.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-        more = plausible(more.join(sized("a"), "ka").join(sized("b"), "kb")).where("open").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-        more = materialize(more.join(named.where("open"), ["a", "b"], "left_anti"), "ngram-more")
+    roots = connected_components(verify(named, docs, classes, id_col, text_col).where(is_link).select("a", "b"))
+
+    members = found.where("kind = 1").select("bucket", F.col("a").alias("sig"), F.col("b").alias("uid"))
+    if members.take(1):
+        members = members.join(classes.select("uid", "key"), "uid").join(roots, F.col("key") == roots["node"], "left")
+        members = materialize(members.select("bucket", "sig", "key", F.coalesce("root", "key").alias("root")), "ngram-members")
+        mixed = members.groupBy("bucket", "sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+        mixed = mixed.where("low <> high").select("bucket", "sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+        dealt = members.join(mixed, ["bucket", "sig"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = dealt.withColumn("q", other).withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")}).join(classes.select("key", "n", "s"), "key")
+        more = dealt.select("bucket", "sig", "i", "j", "part", "key", "root", "n", "s").groupBy("bucket", "sig", "i", "j").applyInArrow(_sketched_pairs, "a binary, b binary")
+        more = materialize(more.distinct().join(named, ["a", "b"], "left_anti"), "ngram-more")
         if more.take(1):
             second = verify(more, docs, classes, id_col, text_col).where(is_link).select("a", "b")
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
