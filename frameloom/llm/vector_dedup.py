@@ -165,7 +165,8 @@ def _fit_centroids(classes: DataFrame) -> dict[str, np.ndarray]:
         return {}
     large = large.orderBy(F.desc("count"), "family").limit(CENTROIDS // 2)
     share = {r["family"]: r["count"] for r in large.collect()}
-    rows = classes.select("family", "vector", "uid").join(F.broadcast(large.select("family")), "family").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).collect()
+    chosen = classes.select("family", "uid").join(F.broadcast(large.select("family")), "family").select("uid").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE)
+    rows = classes.select("family", "vector", "uid").join(F.broadcast(chosen), "uid").orderBy("uid").collect()
     by: dict[str, list] = {}
     for r in rows:
         by.setdefault(r["family"], []).append(np.frombuffer(r["vector"]))
