@@ -4,9 +4,9 @@ Pages of one host are taken in groups. Tokens (tags with their classes, and whol
 equally often on every page of the group, page by page, form an equivalence class. The class of tokens that
 every page has exactly once, in one common order, is the root of the template; its tokens cut each page into
 slots. Other classes are valid if their tokens come in one repeating order inside one slot, and nest there.
-A slot's role follows from the template's elements that are open at it: slots of menus, headers, footers and
-the like are dropped, the slots of the article are extracted, and where no slot is an article's, all slots
-left are, without the text nodes that the template repeats on every page.
+A text's role follows from the elements that are open at it on its page: menus, headers, footers and the like are
+dropped, the text of the article is extracted, and where a page has no article, all text left is, without the text
+nodes that the template repeats on every page.
 """
 
 from __future__ import annotations
@@ -78,9 +78,24 @@ def is_dropped(label: str, name: str) -> bool:
     return name in DROPPED or bool(DROPPED_WORDS.intersection(WORD.findall(label)[1:]))
 
 
+def step(stack: list[tuple[str, str]], kind: str, label: str, name: str) -> None:
+    """The open elements of a page behind one more token: a closing tag closes the last open element of its name and all in it."""
+    if kind == "open" and name not in VOID:
+        stack.append((label, name))
+    elif kind == "close" and any(n == name for _, n in stack):
+        while stack.pop()[1] != name:
+            pass
+
+
+def role(stack: list[tuple[str, str]]) -> tuple[bool, bool]:
+    """Whether these open elements are in an article, and whether they drop what is in them."""
+    main = max((i for i, (label, name) in enumerate(stack) if name in MAIN and not is_dropped(label, name)), default=-1)
+    return main >= 0, any(is_dropped(*x) for x in stack[main + 1 :])
+
+
 @dataclass
 class Template:
-    #: Root tokens in order, and for each slot behind one of them: kept, article, and the classes nested there.
+    #: Root tokens in order, and for each slot behind one of them the role at its start (elements can end inside a slot) and the classes nested there.
     root: list[str]
     article: list[bool]
     dropped: list[bool]
@@ -102,19 +117,16 @@ def deduce(pages: list[Page]) -> Template:
         slot = only_slot(pages, set(members), root)
         if slot is not None:
             nested[slot].append(members)
-    article, dropped, stack = [False], [False], []
-    for label in root:
-        if label.startswith("</"):
-            if any(x[1] == label[2:-1] for x in stack):
-                while stack.pop()[1] != label[2:-1]:
-                    pass
-        elif label.startswith("<"):
-            name = label[1:-1].split(" ")[0]
-            if name not in VOID:
-                stack.append((label, name))
-        main = max((i for i, (lab, n) in enumerate(stack) if n in MAIN and not is_dropped(lab, n)), default=-1)
-        article.append(main >= 0)
-        dropped.append(any(is_dropped(*x) for x in stack[main + 1 :]))
+    at = {label: i + 1 for i, label in enumerate(root)}
+    seen = [[0, 0] for _ in range(len(root) + 1)]
+    for p in pages:
+        stack: list[tuple[str, str]] = []
+        for token in p.tokens:
+            step(stack, *token)
+            if token[1] in at:
+                for i, true in enumerate(role(stack)):
+                    seen[at[token[1]]][i] += true
+    article, dropped = ([0 < x[i] == len(pages) for x in seen] for i in range(2))
     repeated = {label for label in shared if label.startswith("#")} if len(pages) > 2 else set()
     return Template(root, article, dropped, nested, repeated)
 
@@ -161,30 +173,23 @@ def only_slot(pages: list[Page], members: set[str], root: list[str]) -> int | No
 
 
 def extract(page: Page, template: Template) -> str:
-    """Text of the page's slots that the template keeps: blocks in page order, one space between them."""
-    at = {label: i + 1 for i, label in enumerate(template.root)}
+    """Text of the page outside of dropped elements: blocks in page order, one space between them.
+
+    A dropped element ends at its own closing tag, which need not be a token of the template, so each text node is
+    judged by the elements that are open at it on its page.
+    """
     has_main = any(k == "open" and name in MAIN and not is_dropped(label, name) for k, label, name in page.tokens)
-    slot, stack, blocks, current = 0, [], [], []
+    stack, blocks, current = [], [], []
     for kind, label, value in page.tokens:
-        slot = at.get(label, slot)
         if kind == "text":
-            main = max((i for i, (lab, n) in enumerate(stack) if n in MAIN and not is_dropped(lab, n)), default=-1)
-            if has_main:
-                keep = main >= 0 and not any(is_dropped(*x) for x in stack[main + 1 :])
-                keep = keep and (not template.dropped[slot] or not template.article[slot])
-            else:
-                keep = not template.dropped[slot] and not any(is_dropped(*x) for x in stack) and label not in template.repeated
-            if keep:
+            article, dropped = role(stack)
+            if not dropped and (article if has_main else label not in template.repeated):
                 current.append(value)
             continue
         if value not in INLINE:
             blocks.append("".join(current))
             current = []
-        if kind == "open" and value not in VOID:
-            stack.append((label, value))
-        elif kind == "close" and any(n == value for _, n in stack):
-            while stack.pop()[1] != value:
-                pass
+        step(stack, kind, label, value)
     blocks.append("".join(current))
     return " ".join(" ".join(blocks).split())
 

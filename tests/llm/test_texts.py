@@ -200,6 +200,16 @@ def test_template_classes():
     assert t.dropped[t.root.index("<nav>") + 1] and t.article[t.root.index("<article>") + 1]
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_text_behind_a_dropped_element_is_kept(n):
+    inside = '<article><div class="intro"><p>first {i}</p></div><div class="ad">buy</div><p>second {i}</p><div class="share"><div>x</div></div><p>third {i}</p></article><p>out</p>'
+    plain = '<div class="menu"><div>m</div></div><div class="content"><p>body {i}</p><div class="notice">n</div><p>end {i}</p></div><div class="footer">f</div>'
+    for html, expected in ((inside, "first {i} second {i} third {i}"), (plain, "body {i} end {i}")):
+        pages = [html_extract.parse(html.format(i=i)) for i in range(n)]
+        template = html_extract.deduce(pages)
+        assert [html_extract.extract(p, template) for p in pages] == [expected.format(i=i) for i in range(n)]
+
+
 def test_urls(spark):
     urls = ["http://net/", "http://a.net/x?y", "https://WWW.example.NET/en/1", "https://example.net/fr/1", "http://x.example.com/de/", "http://example.com/de", "ftp://q.org/fr/z#t",
             "http://planet/", "no-scheme.net/", None, "", "http://", "http://net", "http://net:80/", "http://a..net/?", "x://org/fr/http://net/", "https://net?/", "http://..../"]
