@@ -192,15 +192,22 @@ def align_events(events: DataFrame, lengths: DataFrame, text_delay: int) -> Data
     return events.join(lengths, "conv_id").withColumn("pos", pos).where((F.col("pos") >= 0) & (F.col("pos") < F.col("num_frames")))
 
 
-def expand_events(events: DataFrame, text: str, reach: int = 64) -> DataFrame:
+def expand_events(events: DataFrame, text: str, reach: int | None = None) -> DataFrame:
     """conv_id, frame, token: start token and then the event's tokens; a frame takes the latest event that covers it.
 
-    events: conv_id, event_idx, pos, num_frames and the text. Frames that no event covers are left out.
+    events: conv_id, event_idx, pos, num_frames and the text. Frames that no event covers are left out. Tokens are
+    clipped at num_frames only, unless reach gives a largest number of words. An event that the next one outlasts
+    makes cells up to the next one's start, as the rest is covered.
     """
-    words = F.slice(F.filter(F.split(text, " "), lambda w: w != ""), 1, reach)
-    tokens = F.concat(F.array(F.lit(START).cast("bigint")), F.transform(words, lambda w: token_of(w)))
-    cells = events.select("conv_id", "event_idx", "pos", "num_frames", F.posexplode(tokens).alias("k", "token"))
-    cells = cells.withColumn("frame", F.col("pos") + F.col("k")).where("frame < num_frames")
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    words = words if reach is None else F.slice(words, 1, reach)
+    sized = events.where(F.col(text).isNotNull()).select("conv_id", "event_idx", "pos", "num_frames", words.alias("words"))
+    sized = sized.withColumn("stop", F.least(F.col("pos") + F.size("words") + 1, F.col("num_frames")))
+    order = Window.partitionBy("conv_id").orderBy("pos", "event_idx")
+    stop = F.when(F.lead("stop").over(order) >= F.col("stop"), F.lead("pos").over(order)).otherwise(F.col("stop"))
+    sized = sized.withColumn("stop", stop).where("stop > pos")
+    tokens = F.concat(F.array(F.lit(START).cast("bigint")), F.transform(F.slice("words", F.lit(1), F.col("stop") - F.col("pos") - 1), lambda w: token_of(w)))
+    cells = sized.select("conv_id", "event_idx", "pos", F.posexplode(tokens).alias("k", "token")).withColumn("frame", F.col("pos") + F.col("k"))
     return cells.groupBy("conv_id", "frame").agg(F.max_by("token", F.struct("pos", "event_idx")).alias("token"))
 
 

@@ -230,7 +230,14 @@ def event_chunks(spark, d):
 def oracle_expand(spark, d):
     w = _words(spark, d)
     e = frames.align_events(oracle.oracle_events(w, 5000), frames.streams_length(w), TEXT_DELAY)
-    return frames.expand_events(e, "hint")
+    return frames.expand_events(e, "hint", reach=64)
+
+
+@query(None)
+def oracle_expand_all(spark, d):
+    """oracle_expand on the operator's own grid and with whole hints; tests hold it against a loop."""
+    w = _words(spark, d)
+    return frames.expand_events(frames.align_events(oracle.oracle_events(w), frames.streams_length(w), TEXT_DELAY), "hint")
 
 
 @query(sql.expanded("CASE WHEN ratio >= 1.0 THEN hint ELSE '' END", "SELECT conv_id, frame, token FROM expanded"))
@@ -238,7 +245,16 @@ def oracle_expand_finished(spark, d):
     w = _words(spark, d)
     e = frames.align_events(oracle.oracle_events(w, 5000), frames.streams_length(w), TEXT_DELAY)
     said = frames.chosen_text(F.col("ratio"), F.col("hint"), F.lit(""))
-    return frames.expand_events(e.withColumn("said", said), "said")
+    return frames.expand_events(e.withColumn("said", said), "said", reach=64)
+
+
+@query(None)
+def oracle_expand_finished_all(spark, d):
+    """oracle_expand_finished on the operator's own grid and with whole hints; events with nothing to say are skipped, as in the reference."""
+    w = _words(spark, d)
+    e = frames.align_events(oracle.oracle_events(w), frames.streams_length(w), TEXT_DELAY)
+    said = frames.chosen_text(F.col("ratio"), F.col("hint"), F.lit(""))
+    return frames.expand_events(e.withColumn("said", said).where("said <> ''"), "said")
 
 
 @query(sql.ret_events("""SELECT conv_id, frame, arg_max(vec_id, event_no * 1000 + i) AS vec_id FROM (

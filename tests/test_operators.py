@@ -1,7 +1,11 @@
 """Exact small cases and closed forms against loops."""
 
+import collections
+import hashlib
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +75,50 @@ def test_expansion_of_two_events(spark):
     assert got == [(0, True), (1, False), (3, True), (4, False)]
 
 
+def expand_loop(events):
+    """(pos, num_frames, tokens) of one conversation, written one event after the other."""
+    out = {}
+    for pos, n, tokens in sorted(events, key=lambda e: e[0]):
+        for k, t in enumerate([frames.START, *tokens]):
+            if pos + k < n:
+                out[pos + k] = t
+    return out
+
+
+def token(word):
+    return 5 + int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % 31995
+
+
+def test_expansion_is_clipped_at_the_last_frame_only(spark):
+    rng, rows = random.Random(3), [(99, 0, 2, 400, " ".join(f"w{k}" for k in range(90)))]
+    for conv in range(40):
+        rows += [(conv, i, rng.randint(0, 119), 120, " ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.choice([0, 3, 30, 100])))) for i in range(rng.randint(1, 9))]
+    got = {(r.conv_id, r.frame): r.token for r in frames.expand_events(spark.createDataFrame(rows, "conv_id long, event_idx int, pos int, num_frames int, hint string"), "hint").collect()}
+    expected = {(c, f): t for c in {r[0] for r in rows} for f, t in expand_loop([(r[2], r[3], [token(w) for w in r[4].split()]) for r in rows if r[0] == c]).items()}
+    assert got == expected and len([c for c, _ in got if c == 99]) == 91
+
+
+@pytest.mark.parametrize("name, finished", [("oracle_expand_all", False), ("oracle_expand_finished_all", True)])
+def test_whole_expansion_matches_the_loop(spark, name, finished):
+    from frameloom.plans import catalog
+
+    folder, w = "/root/testdata/sf0.001", collections.defaultdict(list)
+    for r in words.words_of(words.turns_of(spark.read.parquet(f"{folder}/conversations.parquet"))).orderBy("conv_id", "word_idx").collect():
+        w[r.conv_id].append(r)
+    expected, longest = {}, 0
+    for conv, ws in w.items():
+        table = pd.DataFrame([(r.word_idx, r.speaker, r.word, r.end_ms) for r in ws], columns=["word_idx", "speaker", "word", "end_ms"])
+        n, events = math.floor((max(r.end_ms for r in ws) / 1000 + 1) * 12.5), []
+        for _, ms, _, _, _, _, ratio, hint in oracle.tick_loop(table, 500, None):
+            pos = math.floor(ms / 1000 * 12.5) + 3
+            if ratio > 0.5 and pos < n and (ratio >= 1 or not finished):
+                events.append((pos, n, [token(x) for x in hint.split(" ")]))
+                longest = max(longest, len(events[-1][2]))
+        expected |= {(conv, f): t for f, t in expand_loop(events).items()}
+    got = {(r.conv_id, r.frame): r.token for r in catalog.QUERIES[name](spark, folder).collect()}
+    assert got == expected and longest > 64
+
+
 def test_placement_loop_and_set_form(spark):
     stream = [3, 0, 9, 9, 3, 3, 3, 3, 3, 3, 3, 3, 0, 8, 3]
     placed, marked = frames.place_loop(stream, [2, 12])
