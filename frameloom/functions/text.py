@@ -80,6 +80,29 @@ def contains_normalized(x: Column, answer: Column) -> Column:
     return (normalized(answer) != "") & normalized(x).contains(normalized(answer))
 
 
+def passage(x: Column, draw: Column, least: int = 120, most: int = 400, mark: str = "。") -> Column:
+    """A paragraph of least to most characters, else consecutive sentences packed up to most: from a drawn one, then from the first.
+
+    Empty where neither gives least characters. draw: a whole number, not negative.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    at = lambda a: (draw % F.size(a)).cast("int")
+    ok = F.filter(F.transform(F.split(x, "\n"), strip), lambda p: F.length(p).between(least, most))
+    sentences = F.filter(F.transform(F.split(F.replace(x, F.lit("\n"), F.lit("")), mark), strip), lambda s: s != "")
+    sentences = F.transform(sentences, lambda s: F.concat(s, F.lit(mark)))
+
+    def packed(start):
+        def step(acc, s):
+            full = acc["full"] | (F.length(acc["out"]) + F.length(s) > most)
+            return F.struct(F.when(full, acc["out"]).otherwise(F.concat(acc["out"], s)).alias("out"), full.alias("full"))
+
+        held = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+        out = F.aggregate(F.slice(sentences, start + 1, F.size(sentences)), held, step, lambda a: a["out"])
+        return F.when((F.size(sentences) > 0) & (F.length(out) >= least), out)
+
+    return F.coalesce(F.when(F.size(ok) > 0, F.get(ok, at(ok))), packed(F.coalesce(at(sentences), F.lit(0))), packed(F.lit(0)), F.lit(""))
+
+
 def accept_backchannels(parts: Column, longest: int = 7, around: int = 6) -> Column:
     """From alternating text and marks, the marks that may stand: short, with enough text on both sides.
 

@@ -165,6 +165,37 @@ def test_text_functions(spark):
     assert [value(text.ratio_tier(F.lit(r))) for r in (0.5, 0.65, 0.8, 0.95, 0.99, 1.0)] == ["early", "half", "later", "late", "almost", "done"]
 
 
+def passage_loop(article, draw):
+    fit = [p.strip() for p in article.split("\n") if 120 <= len(p.strip()) <= 400]
+    if fit:
+        return fit[draw % len(fit)]
+    sentences = [s.strip() + "。" for s in article.replace("\n", "").split("。") if s.strip()]
+    for start in (draw % len(sentences), 0) if sentences else ():
+        out = ""
+        for s in sentences[start:]:
+            if len(out) + len(s) > 400:
+                break
+            out += s
+        if len(out) >= 120:
+            return out
+    return ""
+
+
+def test_passages_match_the_loop(spark):
+    from frameloom.plans import catalog
+
+    rng = random.Random(4)
+    sentence = lambda: rng.choice(["日", "x ", "é"]) * rng.choice([0, 5, 30, 60, 130, 450]) + rng.choice(["。", "。\n", " 。\u3000", "\n", "。。"])
+    texts = ["", "\n", "。", "short", "y" * 119, "y" * 150 + "\n" + " " * 300, " " * 200 + "z" * 100 + "。"] + ["".join(sentence() for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(i, rng.randrange(1 << 28), t) for i, t in enumerate(texts)], "i int, draw long, t string")
+    rows = df.withColumn("x", text.passage(F.col("t"), F.col("draw"))).collect()
+    assert all(r.x == passage_loop(r.t, r.draw) for r in rows) and sum("。" in r.x for r in rows) > 50
+    folder = "/root/testdata/sf0.001"
+    draw = lambda k: int(hashlib.md5(f"passage:{k}".encode()).hexdigest()[:7], 16)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: r.passage for r in catalog.QUERIES["passage_pick_all"](spark, folder).collect()} == {k: passage_loop(t, draw(k)) for k, t in docs.items()}
+
+
 def accept_loop(parts, longest=7, around=6):
     import re
 
