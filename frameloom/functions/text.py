@@ -103,6 +103,11 @@ def passage(x: Column, draw: Column, least: int = 120, most: int = 400, mark: st
     return F.coalesce(F.when(F.size(ok) > 0, F.get(ok, at(ok))), packed(F.coalesce(at(sentences), F.lit(0))), packed(F.lit(0)), F.lit(""))
 
 
+def windows_of(x: Column, size: int) -> Column:
+    """All runs of size characters, one from each place."""
+    return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
 def accept_backchannels(parts: Column, longest: int = 7, around: int = 6) -> Column:
     """From alternating text and marks, the marks that may stand: short, with enough text on both sides.
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.text import normalized, windows_of
+
+#: Items meet documents by their first so many characters; shorter ones are compared with every document.
+ANCHOR = 16
+
 
 def name_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """<key>, in_left, in_right of every name that only one side has."""
@@ -62,6 +67,21 @@ def reconcile(staged: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, what.alias("outcome"))
 
 
+def containment(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of every document whose normalized text holds an item's, for any number of items.
+
+    Documents and items are first joined by the items' anchors, without texts, and what meets is compared exactly.
+    Every row counts, also where ids repeat or are null; empty items are in no document.
+    """
+    docs = documents.select("doc_id", normalized(F.col("text")).alias("body"))
+    answers = items.select("item_id", normalized(F.col("text")).alias("answer")).where("answer <> ''")
+    long = answers.where(F.length("answer") >= ANCHOR).withColumn("anchor", F.substring("answer", 1, ANCHOR))
+    met = docs.select("doc_id", F.explode(windows_of(F.col("body"), ANCHOR)).alias("anchor")).join(long.select("anchor").distinct(), "anchor", "left_semi").distinct()
+    pairs = docs.join(met.withColumnRenamed("doc_id", "met_id"), F.col("doc_id").eqNullSafe(F.col("met_id"))).join(long, "anchor")
+    short = docs.join(F.broadcast(answers.where(F.length("answer") < ANCHOR)), F.col("body").contains(F.col("answer")))
+    return pairs.where(F.col("body").contains(F.col("answer"))).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
+
+
 def first_available(sources: list[DataFrame], key: str) -> DataFrame:
     """For each key the row of the first source that has it."""
     out = None

@@ -165,6 +165,28 @@ def test_text_functions(spark):
     assert [value(text.ratio_tier(F.lit(r))) for r in (0.5, 0.65, 0.8, 0.95, 0.99, 1.0)] == ["early", "half", "later", "late", "almost", "done"]
 
 
+def containment_loop(docs, items):
+    import re
+
+    plain = lambda t: re.sub(r"[ \t\n\x0b\f\r.,!?]", "", t or "").lower()
+    bodies, answers = [(i, plain(t)) for i, t in docs], [(i, plain(t)) for i, t in items]
+    return collections.Counter((d, i) for d, body in bodies for i, answer in answers if answer and answer in body)
+
+
+def test_containment_looks_for_every_item(spark):
+    from frameloom.plans import catalog
+
+    long = "A long, long answer about é and 日本語 at length"
+    items = [(1, long), (7, long + "!"), (7, long[:30]), (8, "日本"), (9, " . "), (10, None), (11, "😀" * 16 + "x"), (12, "never said by any document")]
+    docs = [(1, "so: a long long\nanswer about É and 日本語 at length."), (1, "other"), (None, long), (2, "x" + "😀" * 17 + "X"), (3, ""), (4, None), (5, long.upper()), (5, long)]
+    got = dataset.containment(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == containment_loop(docs, items)
+    folder = "/root/testdata/sf0.001"
+    tables = [[tuple(r) for r in spark.read.parquet(f"{folder}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    found = collections.Counter(map(tuple, catalog.QUERIES["answer_containment_all"](spark, folder).collect()))
+    assert found == containment_loop(*tables) and any(i >= 5 for _, i in found)
+
+
 def passage_loop(article, draw):
     fit = [p.strip() for p in article.split("\n") if 120 <= len(p.strip()) <= 400]
     if fit:
