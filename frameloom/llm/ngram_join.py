@@ -1,17 +1,18 @@
 """N-gram Jaccard join by a universe-partition pigeonhole.
 
-Texts with the same words are one class. The hash of a shingle puts it in one of m segments of the universe;
-two sets that differ in at most H shingles agree on every segment but H, so a set with more than H segments
-that aren't empty shares one of them, whole, with each of its partners. Sets are held against each other by
-size band, which bounds H; m is the smallest number that leaves a set enough segments, by the cost of a
-signature and of the sets that fall short, and those few are indexed by their prefix too. Sets so small that H
-is one at most have a single segment and its one-deletion neighbourhood instead. Sets that share a signature are
-candidates, and candidates are verified on their words.
-
-Only connections count here, not pairs, so large groups of candidates are first held against their smallest
-member. Groups that this leaves in several components are gone through once more: their members' parity sketches
-are compared in blocks of bounded size, and pairs of different components that the sketches can't rule out are
-verified too.
+Texts with the same words are one class. The hash of a shingle puts it in one of m segments of the universe, so a
+set falls into subsets, one for each segment. Sets are held against each other by size band, which bounds the
+number H of shingles that two of them may differ in; m is chosen for each band by the cost of its signatures.
+Every set is indexed by its subsets, and each set allocates its probes so that H differences can't spoil them all:
+H + 1 of its subsets, the largest as they are the rarest; a set with fewer subsets is indexed by the one-deletion
+neighbourhoods of its subsets too, and probes those of its cheapest ones, which stand one difference each. A set
+whose subsets are too few even so is indexed by its prefix. Sets that share a signature which one of them probes
+are candidates, and candidates are verified on their words.
+
+Only connections count here, not pairs, so larger groups of candidates are first held against their smallest
+member. Groups that this leaves in several components are gone through once more, merged by their smallest member,
+in blocks of bounded size: a member is compared with all of another component, and released as it joins one. The
+links found there, no more than members, are verified on their words as well.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import bucket_count, connected_components, group_arrow, map_arrow, materialize
+from frameloom.sources.shipping import ship
 
 WORDS = 5
 #: Similarity of at least TOP / BOTTOM.
 TOP, BOTTOM = 80, 100
 RATIO = BOTTOM / TOP
 #: Groups of candidates up to this size are paired at once; larger ones go by their smallest member first.
-SMALL_GROUP = 24
-#: Members of a large group that one task compares with as many others.
-BLOCK = 4096
+SMALL_GROUP = 8
+#: Shingles of a large group that one task compares with as many others.
+BLOCK_SHINGLES = 1 << 20
+#: Signatures that a task holds before it packs them, and words and classes that it remembers.
+HELD_SIGNATURES, HELD_WORDS, HELD_KEYS = 1 << 20, 200_000, 200_000
 #: Partners of one text that one part verifies.
 PARTNERS = 256
 #: Input bytes for each bucket of signatures.
@@ -62,7 +66,7 @@ def plan(space: int) -> tuple[int, int]:
     """H and the number of segments for pairs whose larger set lies in this band; no segments: one-deletion neighbourhood.
 
     The cost of m segments is m signatures and, for a set that is left with H segments or fewer, those of its
-    prefix; m grows until such sets are rare among the smallest that the band admits.
+    one-deletion neighbourhoods; m grows until such sets are rare among the smallest that the band admits.
     """
     largest = math.ceil(RATIO ** (space + 1)) - 1 if space else 1
     limit = 2 * largest * (BOTTOM - TOP) // (BOTTOM + TOP)
@@ -75,7 +79,7 @@ def plan(space: int) -> tuple[int, int]:
         empty = math.exp(-load)
         spread = math.sqrt(max(1e-9, m * empty * (1 - (1 + load) * empty)))
         short = 0.5 * math.erfc((m * (1 - empty) - limit - 0.5) / spread / math.sqrt(2))
-        return m + short * 40 * smallest
+        return m + short * 8 * smallest
 
     return limit, min(range(limit + 1, 3 * limit + 8), key=cost)
 
@@ -94,7 +98,7 @@ class Shingler:
         if len(words) < WORDS:
             return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
         number = self.number
-        if len(number) > 600_000:
+        if len(number) > HELD_WORDS:
             number.clear()
         for w in set(words).difference(number):
             number[w] = xxhash.xxh64_intdigest(w)
@@ -116,27 +120,49 @@ def key_of(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """All signatures of a set that is not empty, for both spaces that its band takes part in."""
+def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a set that is not empty, for both spaces that its band takes part in, and which of them it probes."""
     own, n = mix(shingles + _TAG), len(shingles)
-    out = []
+    out, probes = [], []
+
+    def put(sig: np.ndarray, probed: np.ndarray | bool) -> None:
+        out.append(sig)
+        probes.append(np.broadcast_to(probed, len(sig)))
+
     for space in (band(n), band(n) + 1):
         limit, m = plan(space)
         tag = np.uint64((space + 1) * int(_TAG) % (1 << 64))
         if m == 0:
             total = own.sum(dtype=np.uint64)
-            sets = np.append(total - own, total) if n > TOP // (BOTTOM - TOP) else np.array([total])
-            out.append(mix(sets ^ tag))
+            put(mix(np.array([total]) ^ tag), True)
+            if n > TOP // (BOTTOM - TOP):
+                put(mix(total - own ^ tag), True)
             continue
         segment = ((shingles & _LOW32) * np.uint64(m) >> _32).astype(np.int64)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, segment, own)
-        used = np.flatnonzero(np.bincount(segment, minlength=m))
-        out.append(mix(sums[used] + (used.astype(np.uint64) + np.uint64(1)) * _M2 ^ tag))
-        if len(used) <= limit:
-            prefix = np.sort(own)[: n * (BOTTOM - TOP) // BOTTOM + 1]
-            out.append(mix(prefix ^ (tag + np.uint64(7))))
-    return np.concatenate(out)
+        load = np.bincount(segment, minlength=m)
+        used = np.flatnonzero(load)
+        place = (np.arange(m, dtype=np.uint64) + np.uint64(1)) * _M2
+        whole = mix(sums[used] + place[used] ^ tag)
+        spare = len(used) - (limit + 1)
+        if spare >= 0:
+            probed = np.ones(len(used), bool)
+            probed[np.argsort(load[used], kind="stable")[:spare]] = False
+            put(whole, probed)
+            continue
+        divided = np.flatnonzero(load > 1)  # without its only shingle a subset would be empty, as many are
+        enough = len(divided) >= -spare
+        cheapest = np.zeros(m, bool)
+        if enough:
+            cheapest[divided[np.argsort(load[divided], kind="stable")[:-spare]]] = True
+        else:
+            put(mix(np.sort(own)[: n * (BOTTOM - TOP) // BOTTOM + 1] ^ (tag + np.uint64(7))), True)
+        put(whole, enough)
+        can = load[segment] > 1
+        less = (sums + place)[segment] - own
+        put(mix(less[can] ^ tag), cheapest[segment[can]])
+    return np.concatenate(out), np.concatenate(probes)
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
@@ -174,78 +200,86 @@ def index_blobs(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     """bucket, blob: signatures with the uid of their class, packed for each task and bucket; a class once for each task."""
     def run(batches):
         shingler, seen = Shingler(), set()
-        held, uids = [], []
+        held, probed, uids, count = [], [], [], 0
 
         def flush():
-            if not uids:
-                return
             sig = np.concatenate(held)
-            who = np.repeat(np.arange(len(uids), dtype=np.uint16), [len(h) for h in held])
-            bucket = ((sig >> _40) % np.uint64(buckets)).astype(np.int64)
+            who = np.repeat(np.arange(len(uids), dtype=np.uint16), [len(h) for h in held]) | np.concatenate(probed).astype(np.uint16) << np.uint16(15)
+            bucket = ((sig >> _40) % np.uint64(buckets)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            sig, who, cuts = sig[order], who[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            del bucket, order
             table = np.array(uids, np.int64)
             for b in range(buckets):
-                at = order[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    named, local = np.unique(who[at], return_inverse=True)
-                    s = sig[at] & _LOW40
-                    head = np.array([len(at), len(named)], np.int64)
-                    blob = b"".join((head.tobytes(), table[named].tobytes(), (s & _LOW32).astype(np.uint32).tobytes(), (s >> _32).astype(np.uint8).tobytes(), local.astype(np.uint16).tobytes()))
+                i, j = cuts[b], cuts[b + 1]
+                if i < j:
+                    named, local = np.unique(who[i:j] & np.uint16(0x7FFF), return_inverse=True)
+                    local = local.astype(np.uint16) | who[i:j] & np.uint16(0x8000)
+                    s = sig[i:j] & _LOW40
+                    head = np.array([j - i, len(named)], np.int64)
+                    blob = b"".join((head.tobytes(), table[named].tobytes(), (s & _LOW32).astype(np.uint32).tobytes(), (s >> _32).astype(np.uint8).tobytes(), local.tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                for text in batch.column(0)[at : at + 1000].to_pylist():
+            for at in range(0, batch.num_rows, 200):
+                for text in batch.column(0)[at : at + 200].to_pylist():
                     words = words_of(text)
                     if not words or (key := key_of(words)) in seen:
                         continue
                     seen.add(key)
-                    held.append(signatures(shingler.hashes(words)))
+                    sig, probe = signatures(shingler.hashes(words))
+                    held.append(sig)
+                    probed.append(probe)
                     uids.append(uid_of(key))
-                    if len(uids) == 20_000:
+                    count += len(sig)
+                    if count >= HELD_SIGNATURES or len(uids) == 1 << 15:
                         yield from flush()
-                        held, uids = [], []
-                        if len(seen) > 500_000:
+                        held, probed, uids, count = [], [], [], 0
+                        if len(seen) > HELD_KEYS:
                             seen.clear()
-        yield from flush()
+        if uids:
+            yield from flush()
 
     return map_arrow(docs.select(docs[text_col].cast("string").cast("binary")), run, "bucket int, blob binary")
 
 
-def candidate_pairs(sig: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows a, b, kind. Kind 0: a distinct pair of uids under one signature, of large groups only those with their smallest.
-    Kind 1: a large group's signature and a member's uid.
-    """
+def candidate_pairs(sig: np.ndarray, uid: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows a, b, large: pairs of uids under one signature that one of them probes; of large groups those with the smallest uid."""
     order = np.lexsort((uid, sig))
-    sig, uid = sig[order], uid[order]
+    sig, uid, probe = sig[order], uid[order], probe[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (uid[1:] != uid[:-1])
-    sig, uid = sig[new], uid[new]
-    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
+    head = np.flatnonzero(new)
+    if not len(head):
+        return head, head, new
+    probe = np.logical_or.reduceat(probe, head)
+    sig, uid = sig[head], uid[head]
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     size = np.diff(np.append(start, len(sig)))
+    size *= np.logical_or.reduceat(probe, start)
     a, b = [], []
     for k in np.unique(size[(size > 1) & (size <= SMALL_GROUP)]):
-        rows = uid[start[size == k][:, None] + np.arange(k)]
+        at = start[size == k][:, None] + np.arange(k)
         i, j = np.triu_indices(k, 1)
-        a.append(rows[:, i].ravel())
-        b.append(rows[:, j].ravel())
-    count = size * (size > SMALL_GROUP)
+        wanted = (probe[at][:, i] | probe[at][:, j]).ravel()
+        a.append(uid[at][:, i].ravel()[wanted])
+        b.append(uid[at][:, j].ravel()[wanted])
+    paired = sum(map(len, a))
+    count = np.maximum(size * (size > SMALL_GROUP) - 1, 0)
     first = np.repeat(start, count)
-    member = uid[first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    a, b = np.concatenate([*a, uid[first]]), np.concatenate([*b, member])
-    a, b = a[a != b], b[a != b]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a.append(uid[first])
+    b.append(uid[first + 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
+    a, b = np.concatenate(a), np.concatenate(b)
+    large = np.arange(len(a)) >= paired
+    order = np.lexsort((large, b, a))
+    a, b, large = a[order], b[order], large[order]
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = a[new], b[new]
-    kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(member), np.int32)])
-    return np.concatenate([a, sig[first].astype(np.int64)]), np.concatenate([b, member]), kind
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (large[1:] != large[:-1])
+    return a[new], b[new], large[new]
 
 
 def _match(table: pa.Table) -> pa.Table:
-    sigs, uids = [], []
+    sigs, uids, probes = [], [], []
     for blob in table["blob"].to_pylist():
         n, k = np.frombuffer(blob, np.int64, 2)
         at = 16 + 8 * k
@@ -253,34 +287,52 @@ def _match(table: pa.Table) -> pa.Table:
         low = np.frombuffer(blob, np.uint32, n, at).astype(np.uint64)
         high = np.frombuffer(blob, np.uint8, n, at + 4 * n).astype(np.uint64)
         sigs.append(high << _32 | low)
-        uids.append(named[np.frombuffer(blob, np.uint16, n, at + 5 * n)])
-    bucket = table["bucket"][0].as_py()
-    a, b, kind = candidate_pairs(np.concatenate(sigs), np.concatenate(uids))
-    return pa.table([pa.array([bucket] * len(a), pa.int32()), pa.array(a), pa.array(b), pa.array(kind)], names=["bucket", "a", "b", "kind"])
+        local = np.frombuffer(blob, np.uint16, n, at + 5 * n)
+        uids.append(named[local & np.uint16(0x7FFF)])
+        probes.append(local > 0x7FFF)
+    a, b, large = candidate_pairs(np.concatenate(sigs), np.concatenate(uids), np.concatenate(probes))
+    return pa.table([pa.array(a), pa.array(b), pa.array(large)], names=["a", "b", "large"])
 
 
-def _sketched_pairs(table: pa.Table) -> pa.Table:
-    """Of a block of a large group: pairs of different components that sizes and sketches allow to be links."""
+def _links_between(table: pa.Table) -> pa.Table:
+    """Of a block of a large group: links that join its components, each member compared with all of other components."""
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    part, root, n = table["part"].to_numpy(), np.array(table["root"].to_pylist(), object), table["n"].to_numpy()
+    part, n = table["part"].to_numpy(), table["n"].to_numpy()
     sketch = np.array(table["s"].to_pylist(), np.int64).view(np.uint64)  # of a signed number, numpy counts the absolute value's bits
-    key = np.array(table["key"].to_pylist(), object)
-    _, root = np.unique(root, return_inverse=True)
-    rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(rows), 32):
-        x = rows[at : at + 32]
-        differing = np.bitwise_count(sketch[x][:, None, :] ^ sketch[columns][None, :, :]).sum(2, dtype=np.int64)
-        total = n[x][:, None] + n[columns][None, :]
-        ok = (root[x][:, None] != root[columns][None, :]) & (differing * (BOTTOM + TOP) <= total * (BOTTOM - TOP))
-        ok &= np.minimum(n[x][:, None], n[columns]) * BOTTOM >= np.maximum(n[x][:, None], n[columns]) * TOP
-        p, q = np.nonzero(ok)
-        p, q = x[p], columns[q]
-        once = p < q if i == j else np.ones(len(p), bool)
-        left.append(p[once])
-        right.append(q[once])
-    a, b = key[np.concatenate(left)].tolist(), key[np.concatenate(right)].tolist()
-    return pa.table([pa.array(map(min, a, b), pa.binary()), pa.array(map(max, a, b), pa.binary())], names=["a", "b"])
+    key = table["key"].to_pylist()
+    _, root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
+    blobs = table["shingles"].to_pylist()
+    size = np.array([len(x) // 8 for x in blobs])
+    begin = np.cumsum(size) - size
+    distinct, shingle = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
+    has = np.zeros(len(distinct), bool)
+    columns = np.flatnonzero(part == j)
+    a, b = [], []
+    for x in np.flatnonzero(part == i).tolist():
+        y = columns[columns > x] if i == j else columns
+        y = y[root[y] != root[x]]
+        y = y[np.minimum(n[x], n[y]) * BOTTOM >= np.maximum(n[x], n[y]) * TOP]
+        y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1, dtype=np.int64) * (BOTTOM + TOP) <= (n[y] + n[x]) * (BOTTOM - TOP)]
+        if not len(y):
+            continue
+        mine = shingle[begin[x] : begin[x] + size[x]]
+        has[mine] = True
+        for low in range(0, len(y), 4096):
+            z = y[low : low + 4096]
+            z = z[root[z] != root[x]]
+            if not len(z):
+                continue
+            stop = np.cumsum(size[z])
+            at = np.repeat(begin[z] - (stop - size[z]), size[z]) + np.arange(stop[-1])
+            inter = np.add.reduceat(has[shingle[at]], stop - size[z], dtype=np.int64)
+            linked = z[inter * BOTTOM >= (n[x] + n[z] - inter) * TOP]
+            _, first = np.unique(root[linked], return_index=True)
+            for k in linked[first].tolist():
+                a.append(min(key[x], key[k]))
+                b.append(max(key[x], key[k]))
+            root[np.isin(root, root[linked])] = root[x]
+        has[mine] = False
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def plausible(pairs: DataFrame) -> DataFrame:
@@ -290,6 +342,35 @@ def plausible(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("open", sizes & (differing * (BOTTOM + TOP) <= (F.col("na") + F.col("nb")) * (BOTTOM - TOP)))
 
 
+def _of_classes(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, column: str, value) -> DataFrame:
+    """key and a value of its words, for each class of wanted (key, rep)."""
+    named = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
+    texts = named.join(wanted, named["id"].eqNullSafe(wanted["rep"])).select("key", "text")
+
+    def run(batches):
+        make = value()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                keys, words = batch.column(0)[at : at + 200].to_pylist(), [words_of(t) for t in batch.column(1)[at : at + 200].to_pylist()]
+                right = [i for i, w in enumerate(words) if w and key_of(w) == keys[i]]  # another row may repeat the id
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[i] for i in right], pa.binary()), pa.array([make(words[i]) for i in right], pa.binary())], names=["key", column])
+
+    return map_arrow(texts, run, f"key binary, {column} binary").groupBy("key").agg(F.min(column).alias(column))
+
+
+def _squeeze():
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    return lambda words: pack.compress(b" ".join(words))
+
+
+def _shingle_bytes():
+    shingler = Shingler()
+    return lambda words: shingler.hashes(words).tobytes()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """a, b, inter, na, nb of every pair of keys, from the distinct shingles of their words themselves.
 
@@ -302,19 +383,7 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text
     needed = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("key")).unionByName(
         dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("key")))
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps.select("key", "rep"), "key")
-    named = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    texts = named.join(wanted, named["id"].eqNullSafe(wanted["rep"])).select("key", "text")
-
-    def squeeze(batches):
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            words = [words_of(t) for t in texts]
-            right = [i for i, w in enumerate(words) if w and key_of(w) == keys[i]]  # another row may repeat the id
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in right], pa.binary()), pa.array([pack.compress(b" ".join(words[i])) for i in right], pa.binary())], names=["key", "words"])
-
-    squeezed = map_arrow(texts, squeeze, "key binary, words binary").groupBy("key").agg(F.min("words").alias("words"))
+    squeezed = _of_classes(wanted, docs, id_col, text_col, "words", _squeeze)
     rows = needed.join(squeezed, "key").repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "key", "words")
 
     def compare(batches):
@@ -348,8 +417,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = describe(docs, id_col, text_col)
     classes = materialize(rows.where("key IS NOT NULL").groupBy("key", "uid").agg(
         F.min("id").alias("rep"), F.first("size").alias("n"), F.first("sketch").alias("s")), "ngram-reps")
-    found = materialize(group_arrow(index_blobs(docs, text_col, buckets), "bucket", _match, "bucket int, a bigint, b bigint, kind int"), "ngram-found")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    found = materialize(group_arrow(index_blobs(docs, text_col, buckets), "bucket", _match, "a bigint, b bigint, large boolean"), "ngram-found")
+    pairs = found.select("a", "b").distinct()
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("uid").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
@@ -359,24 +428,25 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     is_link = F.col("inter") * BOTTOM >= (F.col("na") + F.col("nb") - F.col("inter")) * TOP
     roots = connected_components(verify(named, docs, classes, id_col, text_col).where(is_link).select("a", "b"))
 
-    members = found.where("kind = 1").select("bucket", F.col("a").alias("sig"), F.col("b").alias("uid"))
-    if members.take(1):
-        members = members.join(classes.select("uid", "key"), "uid").join(roots, F.col("key") == roots["node"], "left")
-        members = materialize(members.select("bucket", "sig", "key", F.coalesce("root", "key").alias("root")), "ngram-members")
-        mixed = members.groupBy("bucket", "sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-        mixed = mixed.where("low <> high").select("bucket", "sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-        dealt = members.join(mixed, ["bucket", "sig"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = dealt.withColumn("q", other).withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")}).join(classes.select("key", "n", "s"), "key")
-        more = dealt.select("bucket", "sig", "i", "j", "part", "key", "root", "n", "s").groupBy("bucket", "sig", "i", "j").applyInArrow(_sketched_pairs, "a binary, b binary")
-        more = materialize(more.distinct().join(named, ["a", "b"], "left_anti"), "ngram-more")
-        if more.take(1):
-            second = verify(more, docs, classes, id_col, text_col).where(is_link).select("a", "b")
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
-
-    smallest = roots.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    of_key = roots.join(smallest, "root").select(F.col("node").alias("key"), "component").unionByName(
-        classes.join(roots, classes["key"] == roots["node"], "left_anti").select("key", F.col("rep").alias("component")))
+    stars = found.where("large").select(F.col("a").alias("least"), F.col("b").alias("uid"))
+    if stars.take(1):
+        members = stars.union(stars.select("least", "least")).distinct().join(classes, "uid").join(roots, F.col("key") == F.col("node"), "left")
+        members = materialize(members.select("least", "key", "rep", "n", "s", F.coalesce("root", "key").alias("root")), "ngram-members")
+        mixed = members.groupBy("least").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"))
+        mixed = mixed.where("low <> high").select("least", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+        open_members = materialize(members.join(mixed, "least"), "ngram-open")
+        shingles = _of_classes(open_members.select("key", "rep").distinct(), docs, id_col, text_col, "shingles", _shingle_bytes)
+        dealt = open_members.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")})
+        dealt = dealt.join(shingles, "key").select("least", "i", "j", "part", "key", "root", "n", "s", "shingles")
+        ship(docs.sparkSession)
+        more = materialize(dealt.groupBy("least", "i", "j").applyInArrow(_links_between, "a binary, b binary").distinct(), "ngram-more")
+        second = verify(more, docs, classes, id_col, text_col).where(is_link).select("a", "b")
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+
+    rooted = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    of_key = rooted.join(smallest, "root").select("key", "component")
     return rows.select("id", "key", F.col("size").alias("n_shingles")).join(of_key, "key", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
