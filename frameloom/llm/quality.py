@@ -20,8 +20,9 @@ HALF = 256
 CHUNK = 2 * HALF
 PAD = 256
 THRESHOLD = 0.3
-#: The fit takes at most so many labelled documents of each class, of at most so many bytes each.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 60_000
+#: The fit takes at most so many labelled documents of each class; of a text longer than PASSAGES * PASSAGE characters
+#: it takes PASSAGES passages of PASSAGE characters, spread evenly from its begin to its end.
+SAMPLE_PER_CLASS, PASSAGES, PASSAGE = 1500, 32, 512
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 #: Bytes that go through the filters at once when scoring.
 SCORE_BYTES = 1 << 19
@@ -194,11 +195,19 @@ def held_out(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def passages(text: F.Column) -> F.Column:
+    """The text itself, or of a long one its passages, a line each."""
+    length = F.char_length(text)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substr(text, (F.lit(1) + F.floor(i * (length - PASSAGE) / (PASSAGES - 1))).cast("int"), F.lit(PASSAGE)))
+    return F.when(length <= PASSAGES * PASSAGE, text).otherwise(F.array_join(spread, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
     """Fit on a bounded sample: the SAMPLE_PER_CLASS labelled documents of each class that a hash puts first.
 
     Rows whose crc32(id) mod 5 is 0 are never read. Each class weighs as it does among all usable labels.
-    Null labels and ids are left out; of labels that repeat an id the smallest counts.
+    Null labels and ids are left out; of labels that repeat an id the smallest counts. No document is left out for
+    its length: long ones give passages, so the sample's bytes are bounded too.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
@@ -210,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if chosen is None:
         return train([], np.empty(0), np.empty(0))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "id")
+    sample = texts.join(F.broadcast(chosen), "id").withColumn("text", passages(F.col("text")))
     rows = sample.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").collect()
     label = np.array([r["label"] for r in rows], np.float32)
     counts = {k: max(1, int((label == k).sum())) for k in share}
