@@ -86,16 +86,19 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that mark_duplicates keeps, with all their columns."""
-    id_name, digest_name, nth_name = "__keeper_id", "__keeper_digest", "__keeper_nth"
-    keepers = (
-        mark_duplicates(docs, id_col, text_col).where("kept")
-        .select(F.col(id_col).alias(id_name), F.unhex("text_sha256").alias(digest_name))
-    )
-    digest = F.unhex(F.sha2(normalized(text_or_empty(text_col)), 256))
-    tagged = docs.withColumn(nth_name, digest)
-    joined = tagged.join(
-        keepers, tagged[id_col].eqNullSafe(keepers[id_name]) & (tagged[nth_name] == keepers[digest_name]), "left_semi")
-    points = F.char_length(text_or_empty(text_col)).desc()
-    nth = F.row_number().over(Window.partitionBy(id_col, nth_name).orderBy(points))
-    return joined.withColumn(nth_name, nth).where(F.col(nth_name) == 1).select(*docs.columns)
+    """The rows of docs that mark_duplicates keeps, with all their columns.
+
+    Of rows that repeat id and text exactly one stays; null and blank texts are one group; an empty table gives no
+    rows. Texts are shuffled once: the join and the numbering of repeated rows share one key.
+    """
+    key, nth = "__keeper_key", "__keeper_nth"
+
+    def key_of(digest, id_):
+        return F.concat(digest, F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
+
+    keepers = mark_duplicates(docs, id_col, text_col).where("kept").select(key_of(F.unhex("text_sha256"), F.col(id_col)).alias(key))
+    text = text_or_empty(text_col)
+    tagged = docs.withColumn(key, key_of(F.unhex(F.sha2(normalized(text), 256)), F.col(id_col)))
+    points = F.char_length(text).desc()
+    kept = tagged.join(keepers, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(points)))
+    return kept.where(F.col(nth) == 1).select(*docs.columns)
