@@ -39,18 +39,25 @@ def select_batch(candidates: list[DataFrame], claimed: DataFrame, key: str, n: i
     return out.join(claimed, key, "left_anti").orderBy(key).limit(n)
 
 
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with nth, its rows' running number from zero in the order of keys, without one task that sees all rows.
+
+    Ranges of the keys are numbered by themselves and shifted by the sizes of those before: one broadcast row for
+    each range.
+    """
+    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__range", F.spark_partition_id())
+    sizes = ranged.groupBy("__range").count()
+    before = sizes.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    rows = ranged.withColumn("__inside", inside).join(F.broadcast(before), "__range")
+    return rows.withColumn("nth", F.col("__inside") + F.col("__before")).drop("__range", "__inside", "__before")
+
+
 def shard_files(df: DataFrame, key: str, per_shard: int, prefix: str) -> DataFrame:
     """<key>, file: shards of a fixed number of rows in key order, named prefix-001-of-00N."""
-    # A running number over all keys in one order: ranges are numbered by themselves and shifted by their predecessors' sizes.
-    ranged = df.select(key).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("range", F.spark_partition_id())
-    sizes = ranged.groupBy("range").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = before.agg(F.sum("count")).first()[0] or 0
-    number = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
-    rows = ranged.withColumn("nth", number).join(F.broadcast(before), "range")
-    shards = -(-total // per_shard)
-    shard = F.floor((F.col("nth") + F.col("before")) / per_shard) + 1
-    return rows.select(key, F.format_string(f"{prefix}-%03d-of-{shards:03d}", shard).alias("file"))
+    shards = -(-df.count() // per_shard)
+    shard = F.floor(F.col("nth") / per_shard) + 1
+    return numbered(df.select(key), key).select(key, F.format_string(f"{prefix}-%03d-of-{shards:03d}", shard).alias("file"))
 
 
 def quality_gate(items: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
@@ -94,7 +101,7 @@ def first_available(sources: list[DataFrame], key: str) -> DataFrame:
 
 def shifted_pairs(df: DataFrame, key: str) -> DataFrame:
     """The wrong-partner control: each row with the one half the table further on, in key order."""
-    ranked = df.select(key).withColumn("rn", F.row_number().over(Window.orderBy(key)) - 1)
-    n = ranked.count()
-    other = ranked.select(F.col(key).alias("other"), F.col("rn").alias("to"))
-    return ranked.withColumn("to", F.pmod(F.col("rn") + n // 2, F.lit(max(n, 1)))).join(other, "to").select(key, "other")
+    n = df.count()
+    ranked = numbered(df.select(key), key)
+    other = ranked.select(F.col(key).alias("other"), F.col("nth").alias("to"))
+    return ranked.withColumn("to", F.pmod(F.col("nth") + n // 2, F.lit(max(n, 1)))).join(other, "to").select(key, "other")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.hashing import token_of
+from frameloom.operators.dataset import numbered
 
 RATE = 12.5
 FRAME_S = 0.08
@@ -25,8 +26,19 @@ def frame_of_seconds(s: Column) -> Column:
 
 
 def streams_length(words: DataFrame) -> DataFrame:
-    """conv_id, num_frames: up to one second after the last word."""
-    return words.groupBy("conv_id").agg(F.floor((F.max("end_ms") / 1000.0 + 1) * RATE).cast("int").alias("num_frames"))
+    """conv_id, speaker, num_frames: each speaker's text goes up to one second after that speaker's last word."""
+    return words.groupBy("conv_id", "speaker").agg(F.floor((F.max("end_ms") / 1000.0 + 1) * RATE).cast("int").alias("num_frames"))
+
+
+def packed_length(lengths: DataFrame) -> DataFrame:
+    """conv_id, num_frames: packed together, the speakers' streams are cut to the shorter one."""
+    return lengths.groupBy("conv_id").agg(F.min("num_frames").alias("num_frames"))
+
+
+def packed_streams(streams: DataFrame) -> DataFrame:
+    """conv_id, speaker, stream: the streams cut to the shorter one of their conversation."""
+    frames = F.min(F.size("stream")).over(Window.partitionBy("conv_id"))
+    return streams.withColumn("frames", frames).select("conv_id", "speaker", F.slice("stream", F.lit(1), F.col("frames")).alias("stream"))
 
 
 def text_slots(words: DataFrame) -> DataFrame:
@@ -43,7 +55,7 @@ def text_slots(words: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("slot", slot)
     before = F.lag("slot").over(order)
     epad = F.when((F.col("slot") > 0) & (before.isNull() | (before != F.col("slot") - 1)), F.col("slot") - 1)
-    tokens = tokens.withColumn("epad", epad).join(streams_length(words), "conv_id").where("slot < num_frames")
+    tokens = tokens.withColumn("epad", epad).join(streams_length(words), ["conv_id", "speaker"]).where("slot < num_frames")
     return tokens.select("conv_id", "speaker", "i", "token", "desired", "slot", "epad")
 
 
@@ -65,13 +77,21 @@ def slot_loop(desired: list[int], frames: int) -> list[tuple[int, int | None]]:
 
 
 def token_stream(slots: DataFrame, lengths: DataFrame) -> DataFrame:
-    """conv_id, speaker, stream: the dense text stream of each speaker."""
+    """conv_id, speaker, stream: the dense text stream of each speaker.
+
+    Each token brings the pads before it, and the pieces are strung together in order, so the work is linear in the
+    frames.
+    """
     cells = slots.select("conv_id", "speaker", F.explode(F.array(
         F.struct(F.col("slot").alias("frame"), F.col("token").cast("int").alias("token")),
         F.struct(F.col("epad").alias("frame"), F.lit(EPAD).alias("token")))).alias("c")).where("c.frame IS NOT NULL")
-    packed = cells.groupBy("conv_id", "speaker").agg(F.map_from_entries(F.collect_list("c")).alias("at")).join(lengths, "conv_id")
-    stream = F.transform(F.sequence(F.lit(0), F.col("num_frames") - 1), lambda f: F.coalesce(F.element_at("at", f), F.lit(PAD)))
-    return packed.select("conv_id", "speaker", stream.alias("stream"))
+    before = F.lag("c.frame").over(Window.partitionBy("conv_id", "speaker").orderBy("c.frame"))
+    piece = F.concat(F.array_repeat(F.lit(PAD), F.col("c.frame") - F.coalesce(before, F.lit(-1)) - 1), F.array("c.token"))
+    pieces = F.array_sort(F.collect_list(F.struct(F.col("c.frame").alias("frame"), F.col("piece"))))
+    packed = cells.withColumn("piece", piece).groupBy("conv_id", "speaker").agg(pieces.alias("pieces"), F.max("c.frame").alias("last"))
+    rest = F.array_repeat(F.lit(PAD), F.col("num_frames") - F.col("last") - 1)
+    stream = F.concat(F.flatten(F.transform("pieces", lambda x: x["piece"])), rest)
+    return packed.join(lengths, ["conv_id", "speaker"]).select("conv_id", "speaker", stream.alias("stream"))
 
 
 def token_classes(streams: DataFrame) -> DataFrame:
@@ -97,19 +117,37 @@ def ret_events(turns: DataFrame, words: DataFrame) -> DataFrame:
     return events.select(
         "conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("event_no"),
         F.greatest(F.lit(0), frame_of_ms(F.col("lead_onset_ms")) - 1).alias("ret_frame"), "lead_onset_ms", "body_onset_ms", "d_lead_ms",
-        F.bround(F.col("d_lead_ms") / 1000.0 * RATE).cast("int").alias("d_lead_frames"))
+        frame_of_ms(F.col("d_lead_ms")).alias("d_lead_frames"))
 
 
-def place_ret(events: DataFrame, slots: DataFrame, back: int = 2, forward: int = 8) -> DataFrame:
-    """conv_id, event_no, ret_frame, placed: the first real token in [ret_frame - back, ret_frame + forward), if an end of pad stands before it; else -1.
+def place_ret(events: DataFrame, slots: DataFrame, lengths: DataFrame, back: int = 2, forward: int = 8) -> DataFrame:
+    """conv_id, event_no, ret_frame, placed: the end of pad before the first real token in [ret_frame - back, ret_frame + forward); -1 where none is there.
 
-    Events closer than back + forward frames see each other's marks and need place_loop; see crowded.
+    lengths: conv_id, num_frames of the packed streams. Events closer than back + forward frames see each other's
+    marks: such conversations go through place_loop, one event after the other.
     """
-    b = slots.where("speaker = 'B'").select("conv_id", "slot", "epad")
-    window = (F.col("slot") >= F.col("ret_frame") - back) & (F.col("slot") < F.col("ret_frame") + forward) & (F.col("slot") >= 0)
-    hit = events.join(b, "conv_id").where(window).groupBy("conv_id", "event_no").agg(F.min_by(F.struct("slot", "epad"), "slot").alias("first"))
-    placed = F.when(F.col("first.epad").isNotNull(), F.col("first.slot")).otherwise(-1)
-    return events.join(hit, ["conv_id", "event_no"], "left").select("conv_id", "event_no", "ret_frame", placed.alias("placed"))
+    close = crowded(events, back + forward)
+    b = slots.where("speaker = 'B'").select("conv_id", "slot", "epad").join(lengths, "conv_id")
+    window = (F.col("slot") >= F.col("ret_frame") - back) & (F.col("slot") < F.col("ret_frame") + forward) & (F.col("slot") >= 0) & (F.col("slot") < F.col("num_frames"))
+    alone = events.join(close, "conv_id", "left_anti")
+    hit = alone.join(b, "conv_id").where(window).groupBy("conv_id", "event_no").agg(F.min_by(F.struct("slot", "epad"), "slot").alias("first"))
+    simple = alone.join(hit, ["conv_id", "event_no"], "left").select("conv_id", "event_no", "ret_frame", F.coalesce(F.col("first.epad"), F.lit(-1)).alias("placed"))
+
+    def run(key, marks: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        stream = [PAD] * (int(cells["num_frames"].iloc[0]) if len(cells) else 0)
+        for slot, epad in zip(cells["slot"], cells["epad"], strict=True):
+            for at, token in ((epad, EPAD), (slot, START)):
+                if at == at and at is not None and at < len(stream):
+                    stream[int(at)] = token
+        marks = marks.sort_values("event_no")
+        placed, _ = place_loop(stream, marks["ret_frame"].tolist(), back, forward)
+        return marks.assign(placed=placed)[["conv_id", "event_no", "ret_frame", "placed"]]
+
+    mine = events.join(close, "conv_id", "left_semi").select("conv_id", F.col("event_no").cast("int").alias("event_no"), "ret_frame")
+    cells = b.join(close, "conv_id", "left_semi")
+    looped = mine.groupBy("conv_id").cogroup(cells.toDF(*cells.columns).groupBy("conv_id")).applyInPandas(  # toDF: both come from the same words
+        run, "conv_id bigint, event_no int, ret_frame int, placed int")
+    return simple.unionByName(looped)
 
 
 def crowded(events: DataFrame, gap: int = 10) -> DataFrame:
@@ -126,8 +164,8 @@ def place_loop(stream: list[int], frames: list[int], back: int = 2, forward: int
         window = range(max(0, f - back), min(len(stream), f + forward))
         first = next((i for i in window if stream[i] not in (PAD, EPAD)), None)
         if first is not None and first > 0 and stream[first - 1] == EPAD:
-            stream[first] = RET
-            out.append(first)
+            stream[first - 1] = RET
+            out.append(first - 1)
         else:
             out.append(-1)
     return out, stream
@@ -186,22 +224,22 @@ def labels_of(tokens: Column, initial: int, zero: int) -> Column:
     return F.transform(tokens, lambda t: F.when(t < initial, t).otherwise(zero))
 
 
-def align_events(events: DataFrame, lengths: DataFrame, text_delay: int) -> DataFrame:
-    """Events on the delayed timeline; those out of range are dropped."""
+def align_events(events: DataFrame, lengths: DataFrame, text_delay: int, most_delay: int) -> DataFrame:
+    """Events on the delayed timeline, which is most_delay + 1 frames longer; those out of range are dropped."""
     pos = frame_of_ms(F.col("timestamp_ms")) + 1 + text_delay
-    return events.join(lengths, "conv_id").withColumn("pos", pos).where((F.col("pos") >= 0) & (F.col("pos") < F.col("num_frames")))
+    longer = lengths.select("conv_id", (F.col("num_frames") + most_delay + 1).alias("num_frames"))
+    return events.join(longer, "conv_id").withColumn("pos", pos).where((F.col("pos") >= 0) & (F.col("pos") < F.col("num_frames")))
 
 
-def expand_events(events: DataFrame, text: str, reach: int | None = None) -> DataFrame:
+def expand_events(events: DataFrame, text: str) -> DataFrame:
     """conv_id, frame, token: start token and then the event's tokens; a frame takes the latest event that covers it.
 
-    events: conv_id, event_idx, pos, num_frames and the text. Frames that no event covers are left out. Tokens are
-    clipped at num_frames only, unless reach gives a largest number of words. An event that the next one outlasts
-    makes cells up to the next one's start, as the rest is covered.
+    events: conv_id, event_idx, pos, num_frames and the text. Frames that no event covers are left out, and so are
+    events without a word. Tokens are clipped at num_frames only. An event that the next one outlasts makes cells up
+    to the next one's start, as the rest is covered.
     """
     words = F.filter(F.split(text, " "), lambda w: w != "")
-    words = words if reach is None else F.slice(words, 1, reach)
-    sized = events.where(F.col(text).isNotNull()).select("conv_id", "event_idx", "pos", "num_frames", words.alias("words"))
+    sized = events.select("conv_id", "event_idx", "pos", "num_frames", words.alias("words")).where(F.size("words") > 0)
     sized = sized.withColumn("stop", F.least(F.col("pos") + F.size("words") + 1, F.col("num_frames")))
     order = Window.partitionBy("conv_id").orderBy("pos", "event_idx")
     stop = F.when(F.lead("stop").over(order) >= F.col("stop"), F.lead("pos").over(order)).otherwise(F.col("stop"))
@@ -227,16 +265,16 @@ def inject(events: DataFrame, vectors: DataFrame, lengths: DataFrame) -> DataFra
 
 def pad_batches(df: DataFrame, batch: int) -> DataFrame:
     """conv_id, batch, padded, masked: streams in key order, padded to the longest of their batch."""
-    number = F.floor((F.row_number().over(Window.orderBy("conv_id", "speaker")) - 1) / batch)
-    sized = df.withColumn("batch", number).withColumn("longest", F.max(F.size("stream")).over(Window.partitionBy("batch")))
-    return sized.select("conv_id", "speaker", "batch", F.col("longest").alias("padded"), (F.col("longest") - F.size("stream")).alias("masked"))
+    sized = numbered(df.select("conv_id", "speaker", F.size("stream").alias("n")), "conv_id", "speaker").withColumn("batch", F.floor(F.col("nth") / batch))
+    longest = F.max("n").over(Window.partitionBy("batch"))
+    return sized.select("conv_id", "speaker", "batch", longest.alias("padded"), (longest - F.col("n")).alias("masked"))
 
 
 def slots_unordered(words: DataFrame) -> DataFrame:
     """text_slots for speakers whose starts aren't in order, by slot_loop, one stream at a time."""
     order = Window.partitionBy("conv_id", "speaker").orderBy("word_idx")
     source = words.withColumns({"i": F.row_number().over(order) - 1, "desired": frame_of_seconds(F.col("start_ms") / 1000.0), "token": token_of(F.col("word"))})
-    source = source.join(streams_length(words), "conv_id").select("conv_id", "speaker", "i", "token", "desired", "num_frames")
+    source = source.join(streams_length(words), ["conv_id", "speaker"]).select("conv_id", "speaker", "i", "token", "desired", "num_frames")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")

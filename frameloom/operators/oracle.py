@@ -18,11 +18,12 @@ def oracle_ticks(words: DataFrame, interval_ms: int = 500, target: str | None =
 
     A tick at k * interval sees the words that have ended by then; it needs two of them and ends before the last
     word does. Every tick falls between two ends of words, so each word makes its own ticks and nothing is joined.
-    Expects words in order of their ends, see is_ordered; oracle_ticks_unordered takes any.
+    target keeps the ticks at which this speaker is to come next. Expects words in order of their ends, see
+    is_ordered; oracle_ticks_unordered takes any.
     """
     order = Window.partitionBy("conv_id").orderBy("word_idx")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("conv_id").orderBy(F.desc("word_idx")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that grows costs each row once
     everything = Window.partitionBy("conv_id")
     breaks = F.col("speaker").isNotNull() & ((F.lag("speaker").over(order) != F.col("speaker")) | (F.col("end_ms") - F.lag("end_ms").over(order) >= BREAK_MS))
     base = with_runs(words).withColumn("is_break", breaks).withColumns({
@@ -39,7 +40,7 @@ def oracle_ticks(words: DataFrame, interval_ms: int = 500, target: str | None =
     found = ticks.select(
         "conv_id", "tick", (F.col("tick") * interval_ms).alias("timestamp_ms"), "word_idx", "speaker", "run", "spoken", total.alias("total"),
         (F.col("spoken") / total).alias("ratio"))
-    return found.where(F.col("speaker") == target) if target else found
+    return found.where(F.col("speaker") != target) if target else found
 
 
 def is_ordered(words: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def tick_loop(pdf: pd.DataFrame, interval_ms: int, target: str | None) -> list[t
         if len(heard) < 2:
             continue
         c = heard[-1]
-        if target and speaker[c] != target:
+        if target and speaker[c] == target:
             continue
         other = max((i for i in heard if speaker[i] != speaker[c]), default=-1)
         spoken = sum(i > other for i in heard)
@@ -96,11 +97,12 @@ def oracle_hints(words: DataFrame, interval_ms: int = 500, target: str | None =
 def oracle_events(words: DataFrame, interval_ms: int = 500, target: str | None = None) -> DataFrame:
     """Events of the rule that predicts the hint once more than half of the utterance is spoken, and nothing before.
 
-    event_idx counts a conversation's events; skip_forbid marks the last of a run of one channel, over all events.
+    channel is that of the speaker who comes next; event_idx counts a conversation's events; skip_forbid marks the
+    last of a run of one channel, over all events.
     """
     events = oracle_hints(words, interval_ms, target).where(F.col("ratio") > HINT_RATIO)
     order = Window.partitionBy("conv_id").orderBy("tick")
-    channel = F.when(F.col("speaker") == "A", 0).otherwise(1)
+    channel = F.when(F.col("speaker") == "A", 1).otherwise(0)
     events = events.withColumns({"channel": channel, "event_idx": F.row_number().over(order) - 1})
     follows = F.lead("channel").over(order)
     return events.withColumn("skip_forbid", F.when(follows.isNull() | (follows != F.col("channel")), 1).otherwise(0))

@@ -42,8 +42,8 @@ def _words(spark, d):
     return words.words_of(_turns(spark, d))
 
 
-def _lengths(spark, d):
-    return frames.streams_length(_words(spark, d))
+def _lengths(w):
+    return frames.packed_length(frames.streams_length(w))
 
 
 def _streams(spark, d):
@@ -51,6 +51,10 @@ def _streams(spark, d):
     return frames.token_stream(frames.text_slots(w), frames.streams_length(w))
 
 
+def _packed(spark, d):
+    return frames.packed_streams(_streams(spark, d))
+
+
 def _flat(stream) -> F.Column:
     """An array of numbers as text, which any engine compares alike."""
     return F.array_join(F.transform(stream, lambda t: t.cast("string")), ",")
@@ -120,7 +124,7 @@ def oracle_hints(spark, d):
     return h.select("conv_id", "tick", "word_idx", "speaker", "spoken", "total", shown.alias("shown"), "hint")
 
 
-@query(sql.hints("SELECT conv_id, tick, word_idx, spoken, total FROM hints WHERE speaker = 'A'"))
+@query(sql.hints("SELECT conv_id, tick, word_idx, spoken, total FROM hints WHERE speaker = 'B'"))
 def oracle_target_channel(spark, d):
     return oracle.oracle_hints(_words(spark, d), target="A").select("conv_id", "tick", "word_idx", "spoken", "total")
 
@@ -173,7 +177,7 @@ def d_lead_summary(spark, d):
 @query(sql.placed("SELECT conv_id, event_no, ret_frame, placed FROM placed"))
 def ret_placement(spark, d):
     w = _words(spark, d)
-    return frames.place_ret(frames.ret_events(_turns(spark, d), w), frames.text_slots(w))
+    return frames.place_ret(frames.ret_events(_turns(spark, d), w), frames.text_slots(w), _lengths(w))
 
 
 @query(sql.placed("""SELECT conv_id, row_number() OVER o - 1 AS event_no, placed, CAST(coalesce(sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", n
@@ -181,47 +185,47 @@ def ret_placement(spark, d):
 def kept_references(spark, d):
     w = _words(spark, d)
     events = frames.ret_events(_turns(spark, d), w)
-    return frames.keep_placed(frames.place_ret(events, frames.text_slots(w)), events.select("conv_id", "event_no", F.col("d_lead_frames").alias("n")))
+    return frames.keep_placed(frames.place_ret(events, frames.text_slots(w), _lengths(w)), events.select("conv_id", "event_no", F.col("d_lead_frames").alias("n")))
 
 
 @query(sql.manifest("""SELECT conv_id, turn, unnest(range(s, e)) AS frame FROM (
     SELECT conv_id, turn, floor(onset_ms / 1000.0::DOUBLE * 12.5::DOUBLE)::INT AS s, least(floor((onset_ms + duration_ms) / 1000.0::DOUBLE * 12.5::DOUBLE)::INT, num_frames) AS e
-    FROM manifest JOIN lengths USING (conv_id) WHERE speaker = 'B') WHERE s < e"""))
+    FROM manifest JOIN packed USING (conv_id) WHERE speaker = 'B') WHERE s < e"""))
 def body_frame_mask(spark, d):
     w = _words(spark, d)
-    return frames.body_frames(words.manifest_of(w), frames.streams_length(w))
+    return frames.body_frames(words.manifest_of(w), _lengths(w))
 
 
-@query(sql.streams("SELECT conv_id, speaker, array_to_string(list_concat(list_concat([32001, 32001, 32001], stream), [3]), ',') AS stream, len(stream) + 4 AS n FROM streams"))
+@query(sql.cut("SELECT conv_id, speaker, array_to_string(list_concat(list_concat([32001, 32001, 32001], stream), [3]), ',') AS stream, len(stream) + 4 AS n FROM cut"))
 def delayed_streams(spark, d):
     s = frames.delayed(F.col("stream"), TEXT_DELAY, MOST_DELAY, 32001, frames.PAD)
-    return _streams(spark, d).select("conv_id", "speaker", _flat(s).alias("stream"), F.size(s).alias("n"))
+    return _packed(spark, d).select("conv_id", "speaker", _flat(s).alias("stream"), F.size(s).alias("n"))
 
 
-@query(sql.streams("SELECT conv_id, speaker, array_to_string(stream, ',') AS stream FROM streams WHERE len(stream) > 0"))
+@query(sql.cut("SELECT conv_id, speaker, array_to_string(stream, ',') AS stream FROM cut WHERE len(stream) > 0"))
 def undelayed_streams(spark, d):
     s = frames.undelayed(frames.delayed(F.col("stream"), TEXT_DELAY, MOST_DELAY, 32001, frames.PAD), TEXT_DELAY, MOST_DELAY)
-    return _streams(spark, d).select("conv_id", "speaker", _flat(s).alias("stream")).where("stream IS NOT NULL")
+    return _packed(spark, d).select("conv_id", "speaker", _flat(s).alias("stream")).where("stream IS NOT NULL")
 
 
 @query(sql.chunks("SELECT conv_id, speaker, chunk, start, array_to_string(tokens, ',') AS tokens FROM chunks"))
 def stream_chunks(spark, d):
-    return frames.stream_chunks(_streams(spark, d), CHUNK, SHORTEST).withColumn("tokens", _flat(F.col("tokens")))
+    return frames.stream_chunks(_packed(spark, d), CHUNK, SHORTEST).withColumn("tokens", _flat(F.col("tokens")))
 
 
 @query(sql.chunks("SELECT conv_id, speaker, chunk, array_to_string(list_transform(tokens, lambda t: CASE WHEN t < 16000 THEN t ELSE -1 END), ',') AS labels FROM chunks"))
 def chunk_labels(spark, d):
-    c = frames.stream_chunks(_streams(spark, d), CHUNK, SHORTEST)
+    c = frames.stream_chunks(_packed(spark, d), CHUNK, SHORTEST)
     return c.select("conv_id", "speaker", "chunk", _flat(frames.labels_of(F.col("tokens"), 16000, -1)).alias("labels"))
 
 
 @query(sql.aligned("""SELECT a.conv_id, event_idx, c.chunk, pos - start AS local FROM aligned a JOIN (
     SELECT conv_id, unnest(range(0, n)) AS chunk, q, r, n, unnest(range(0, n)) * q + least(unnest(range(0, n)), r) AS start FROM (
-    SELECT conv_id, ceil(num_frames / 512.0)::INT AS n, num_frames // ceil(num_frames / 512.0)::INT AS q, num_frames % ceil(num_frames / 512.0)::INT AS r FROM lengths)) c
+    SELECT conv_id, ceil(t / 512.0)::INT AS n, t // ceil(t / 512.0)::INT AS q, t % ceil(t / 512.0)::INT AS r FROM (SELECT conv_id, num_frames + 4 AS t FROM packed))) c
     ON a.conv_id = c.conv_id AND pos >= start AND pos < start + q + CASE WHEN c.chunk < r THEN 1 ELSE 0 END"""))
 def event_chunks(spark, d):
     w = _words(spark, d)
-    e = frames.align_events(oracle.oracle_events(w), frames.streams_length(w), TEXT_DELAY)
+    e = frames.align_events(oracle.oracle_events(w), _lengths(w), TEXT_DELAY, MOST_DELAY)
     number, start = frames.chunk_of(F.col("pos"), F.col("num_frames"), CHUNK)
     return e.select("conv_id", "event_idx", number.alias("chunk"), (F.col("pos") - start).cast("bigint").alias("local"))
 
@@ -229,48 +233,32 @@ def event_chunks(spark, d):
 @query(sql.expanded("hint", "SELECT conv_id, frame, token FROM expanded"))
 def oracle_expand(spark, d):
     w = _words(spark, d)
-    e = frames.align_events(oracle.oracle_events(w, 5000), frames.streams_length(w), TEXT_DELAY)
-    return frames.expand_events(e, "hint", reach=64)
-
-
-@query(None)
-def oracle_expand_all(spark, d):
-    """oracle_expand on the operator's own grid and with whole hints; tests hold it against a loop."""
-    w = _words(spark, d)
-    return frames.expand_events(frames.align_events(oracle.oracle_events(w), frames.streams_length(w), TEXT_DELAY), "hint")
+    return frames.expand_events(frames.align_events(oracle.oracle_events(w), _lengths(w), TEXT_DELAY, MOST_DELAY), "hint")
 
 
 @query(sql.expanded("CASE WHEN ratio >= 1.0 THEN hint ELSE '' END", "SELECT conv_id, frame, token FROM expanded"))
 def oracle_expand_finished(spark, d):
     w = _words(spark, d)
-    e = frames.align_events(oracle.oracle_events(w, 5000), frames.streams_length(w), TEXT_DELAY)
-    said = frames.chosen_text(F.col("ratio"), F.col("hint"), F.lit(""))
-    return frames.expand_events(e.withColumn("said", said), "said", reach=64)
-
-
-@query(None)
-def oracle_expand_finished_all(spark, d):
-    """oracle_expand_finished on the operator's own grid and with whole hints; events with nothing to say are skipped, as in the reference."""
-    w = _words(spark, d)
-    e = frames.align_events(oracle.oracle_events(w), frames.streams_length(w), TEXT_DELAY)
-    said = frames.chosen_text(F.col("ratio"), F.col("hint"), F.lit(""))
-    return frames.expand_events(e.withColumn("said", said).where("said <> ''"), "said")
+    e = frames.align_events(oracle.oracle_events(w), _lengths(w), TEXT_DELAY, MOST_DELAY)
+    return frames.expand_events(e.withColumn("said", frames.chosen_text(F.col("ratio"), F.col("hint"), F.lit(""))), "said")
 
 
-@query(sql.ret_events("""SELECT conv_id, frame, arg_max(vec_id, event_no * 1000 + i) AS vec_id FROM (
+@query(sql.ret_events("""SELECT conv_id, frame, vec_id, round(embedding[1]::DOUBLE, 6) AS first FROM (
+    SELECT conv_id, frame, arg_max(vec_id, event_no * 1000 + i) AS vec_id FROM (
     SELECT conv_id, event_no, i, ret_frame + 1 + i AS frame, (event_no * 7 + i) % 50 AS vec_id FROM (
-    SELECT conv_id, event_no, ret_frame, unnest(range(0, 40)) AS i FROM ret_events)) JOIN lengths USING (conv_id) WHERE frame < num_frames GROUP BY conv_id, frame"""))
+    SELECT conv_id, event_no, ret_frame, unnest(range(0, 40)) AS i FROM ret_events)) JOIN packed USING (conv_id) WHERE frame < num_frames GROUP BY conv_id, frame) JOIN embeddings USING (vec_id)"""))
 def inject_vectors(spark, d):
     w = _words(spark, d)
     e = frames.ret_events(_turns(spark, d), w).select("conv_id", "event_no", (F.col("ret_frame") + 1).alias("start"))
     v = e.select("conv_id", "event_no", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).withColumn("vec_id", (F.col("event_no") * 7 + F.col("i")) % 50)
-    return frames.inject(e, v, frames.streams_length(w))
+    at = frames.inject(e, v, _lengths(w)).join(read_table(spark, d, "embeddings"), "vec_id")
+    return at.select("conv_id", "frame", "vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query(sql.streams("""SELECT conv_id, speaker, batch, padded, padded - n AS masked FROM (SELECT *, max(n) OVER (PARTITION BY batch) AS padded FROM (
-    SELECT conv_id, speaker, len(stream) AS n, (row_number() OVER (ORDER BY conv_id, speaker) - 1) // 8 AS batch FROM streams))"""))
+@query(sql.cut("""SELECT conv_id, speaker, batch, padded, padded - n AS masked FROM (SELECT *, max(n) OVER (PARTITION BY batch) AS padded FROM (
+    SELECT conv_id, speaker, len(stream) AS n, (row_number() OVER (ORDER BY conv_id, speaker) - 1) // 8 AS batch FROM cut))"""))
 def batch_padding(spark, d):
-    return frames.pad_batches(_streams(spark, d), 8)
+    return frames.pad_batches(_packed(spark, d), 8)
 
 
 # Data sets
@@ -289,11 +277,11 @@ def resume_anti_join(spark, d):
 
 
 @query(sql.words("""SELECT conv_id FROM (SELECT conv_id FROM words GROUP BY conv_id HAVING bool_or(speaker = 'A') AND bool_or(speaker = 'B'))
-    WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user') AND conv_id % 3 <> 0 ORDER BY conv_id LIMIT 20"""))
+    WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user') AND conv_id NOT IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 6) ORDER BY conv_id LIMIT 20"""))
 def batch_select(spark, d):
     conv = read_table(spark, d, "conversations")
     valid = words.require_speakers(_words(spark, d)).where("valid")
-    claimed = conv.where("conv_id % 3 = 0").select("conv_id").distinct()
+    claimed = conv.groupBy("conv_id").count().where("count > 6").select("conv_id")
     return dataset.select_batch([valid, conv.where("role = 'user'")], claimed, "conv_id", 20)
 
 
@@ -308,13 +296,13 @@ def quality_gate(spark, d):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.size = 0 THEN 'broken' WHEN b.size IS NULL THEN 'moved' WHEN a.size IS NULL THEN 'kept' WHEN a.size = b.size THEN 'duplicate' ELSE 'conflict' END AS outcome
-    FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars END AS size FROM documents WHERE doc_id % 2 = 0) a
-    FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id""")
+    FROM (SELECT doc_id, length(coalesce(text, '')) AS size FROM documents) a
+    FULL JOIN (SELECT doc_id, length(coalesce(text, '')) + toxic AS size FROM labels JOIN documents USING (doc_id)) b ON a.doc_id = b.doc_id""")
 def transfer_reconcile(spark, d):
-    docs = read_table(spark, d, "documents")
-    staged = docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, 0).otherwise(F.col("n_chars")).alias("size"))
-    existing = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"))
-    return dataset.reconcile(staged, existing, "doc_id")
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    docs = read_table(spark, d, "documents").select("doc_id", size.alias("size"))
+    existing = docs.join(read_table(spark, d, "labels"), "doc_id").select("doc_id", (F.col("size") + F.col("toxic")).alias("size"))
+    return dataset.reconcile(docs, existing, "doc_id")
 
 
 @query("""WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations))
@@ -358,28 +346,19 @@ def voice_pick(spark, d):
 
 
 @query(sql.ret_events(f"""SELECT conv_id, event_no, round_even(delay * 12.5::DOUBLE, 0)::INT AS delay_frames FROM (SELECT conv_id, event_no,
-    CASE WHEN s < 2 OR u < 0.2 THEN v * s ELSE 1 + v * (s - 2) END AS delay FROM (SELECT conv_id, event_no, d_lead_ms / 1000.0::DOUBLE AS s,
+    CASE WHEN s < 2 OR u < 0.2 THEN v * s ELSE 1 + v * (s - 2) END AS delay FROM (SELECT conv_id, event_no, d_lead_frames / 12.5::DOUBLE AS s,
     {sql.number('p', 'conv_id', 'event_no')} / 268435456.0::DOUBLE AS u, {sql.number('v', 'conv_id', 'event_no')} / 268435456.0::DOUBLE AS v FROM ret_events))"""))
 def retrieval_delay(spark, d):
     e = frames.ret_events(_turns(spark, d), _words(spark, d))
-    s, key = F.col("d_lead_ms") / 1000.0, (F.col("conv_id"), F.col("event_no"))
+    s, key = F.col("d_lead_frames") / frames.RATE, (F.col("conv_id"), F.col("event_no"))
     u, v = hashing.uniform("p", *key), hashing.uniform("v", *key)
     delay = F.when((s < 2) | (u < 0.2), v * s).otherwise(1 + v * (s - 2))
     return e.select("conv_id", "event_no", F.bround(delay * 12.5).cast("int").alias("delay_frames"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN list_contains(list(doc_id) OVER (), doc_id) THEN passage END AS passage FROM (SELECT doc_id, CASE WHEN len(ok) > 0 THEN ok[({sql.number('passage', 'doc_id')} % len(ok))::INT + 1] END AS passage
-    FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: length(p) BETWEEN 120 AND 400) AS ok FROM documents))""")
-def passage_pick(spark, d):
-    docs = read_table(spark, d, "documents")
-    ok = F.filter(F.split("text", "\n"), lambda p: F.length(p).between(120, 400))
-    picked = docs.select("doc_id", ok.alias("ok")).withColumn("n", hashing.number("passage", F.col("doc_id")))
-    return picked.select("doc_id", F.when(F.size("ok") > 0, F.get("ok", (F.col("n") % F.size("ok")).cast("int"))).alias("passage"))
-
-
 @query(None)
-def passage_pick_all(spark, d):
-    """passage_pick with sentences packed where no paragraph fits; tests hold it against a loop."""
+def passage_pick(spark, d):
+    """A paragraph of fitting length, or sentences packed where none fits; tests hold it against a loop."""
     docs = read_table(spark, d, "documents")
     return docs.select("doc_id", text.passage(F.col("text"), hashing.number("passage", F.col("doc_id"))).alias("passage"))
 
@@ -545,14 +524,8 @@ def label_strip(spark, d):
     return read_table(spark, d, "conversations").select("conv_id", "turn", text.strip_labels(F.concat(F.lit("User: moshi："), F.col("text")), ["User", "moshi"]).alias("body"))
 
 
-@query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(regexp_replace(documents.text, '[\\s.,!?]', '', 'g')), lower(regexp_replace(benchmark.text, '[\\s.,!?]', '', 'g'))) WHERE item_id < 5")
+@query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(regexp_replace(documents.text, '[\\s.,!?]', '', 'g')), lower(regexp_replace(benchmark.text, '[\\s.,!?]', '', 'g')))")
 def answer_containment(spark, d):
-    return dataset.containment(read_table(spark, d, "documents"), read_table(spark, d, "benchmark").where("item_id < 5"))
-
-
-@query(None)
-def answer_containment_all(spark, d):
-    """answer_containment for all items; tests hold it against a loop."""
     return dataset.containment(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
 
 

@@ -14,7 +14,8 @@ CTES = {
         SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY conv_id ORDER BY word_idx) = speaker THEN 0 ELSE 1 END AS new FROM words)""",
     "runs": "SELECT conv_id, run, speaker, count(*) AS n_words, string_agg(word, ' ' ORDER BY word_idx) AS text, min(word_idx) AS first_idx, max(word_idx) AS last_idx FROM numbered GROUP BY conv_id, run, speaker",
     "manifest": "SELECT conv_id, turn, speaker, min(start_ms) AS onset_ms, max(end_ms) - min(start_ms) AS duration_ms FROM words GROUP BY conv_id, turn, speaker",
-    "lengths": "SELECT conv_id, floor((max(end_ms) / 1000.0::DOUBLE + 1) * 12.5::DOUBLE)::INT AS num_frames FROM words GROUP BY conv_id",
+    "lengths": "SELECT conv_id, speaker, floor((max(end_ms) / 1000.0::DOUBLE + 1) * 12.5::DOUBLE)::INT AS num_frames FROM words GROUP BY conv_id, speaker",
+    "packed": "SELECT conv_id, min(num_frames) AS num_frames FROM lengths GROUP BY conv_id",
     # Ticks: the grid joined with the words that have ended, the next break found among those behind.
     "heard": """SELECT g.conv_id, g.tick, w.word_idx, w.speaker, w.run FROM (
             SELECT conv_id, unnest(range(1, (max(end_ms) - 1) // INTERVAL_MS + 1)) AS tick FROM words GROUP BY conv_id) g
@@ -27,50 +28,61 @@ CTES = {
         FROM heard h JOIN runs r ON r.conv_id = h.conv_id AND r.run = h.run JOIN stops s ON s.conv_id = h.conv_id AND s.word_idx = h.word_idx""",
     "hints": "SELECT t.*, r.text AS hint FROM ticks t JOIN runs r ON r.conv_id = t.conv_id AND r.run = t.run + 1",
     "events": """SELECT *, row_number() OVER o - 1 AS event_idx, CASE WHEN lead(channel) OVER o IS NULL OR lead(channel) OVER o <> channel THEN 1 ELSE 0 END AS skip_forbid
-        FROM (SELECT *, CASE speaker WHEN 'A' THEN 0 ELSE 1 END AS channel FROM hints WHERE ratio > 0.5) WINDOW o AS (PARTITION BY conv_id ORDER BY tick)""",
-    "aligned": """SELECT * FROM (SELECT e.*, num_frames, floor(timestamp_ms / 1000.0::DOUBLE * 12.5::DOUBLE)::INT + 3 AS pos FROM events e JOIN lengths USING (conv_id)) WHERE pos < num_frames""",
+        FROM (SELECT *, CASE speaker WHEN 'A' THEN 1 ELSE 0 END AS channel FROM hints WHERE ratio > 0.5) WINDOW o AS (PARTITION BY conv_id ORDER BY tick)""",
+    "aligned": """SELECT * FROM (SELECT e.*, num_frames + 4 AS num_frames, floor(timestamp_ms / 1000.0::DOUBLE * 12.5::DOUBLE)::INT + 3 AS pos FROM events e JOIN packed USING (conv_id)) WHERE pos < num_frames""",
     "expanded": """SELECT conv_id, frame, arg_max(token, pos * 100000 + event_idx) AS token FROM (
         SELECT conv_id, event_idx, pos, num_frames, pos + k AS frame, CASE WHEN k = 0 THEN 32000 ELSE TOKEN_OF(said[k]) END AS token FROM (
-            SELECT *, unnest(range(0, len(said) + 1)) AS k FROM (SELECT *, list_filter(string_split(SAID, ' '), lambda w: w <> '')[1:64] AS said FROM aligned)))
+            SELECT *, unnest(range(0, least(len(said) + 1, num_frames - pos))) AS k FROM (SELECT *, list_filter(string_split(SAID, ' '), lambda w: w <> '') AS said FROM aligned) WHERE len(said) > 0))
         WHERE frame < num_frames GROUP BY conv_id, frame""",
     "desired": """SELECT conv_id, speaker, i, TOKEN_OF(word) AS token, round((s - s % 0.08::DOUBLE) / 0.08::DOUBLE)::INT AS desired FROM (
         SELECT conv_id, speaker, word, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY word_idx) - 1 AS i, start_ms / 1000.0::DOUBLE AS s FROM words)""",
     "slots": """SELECT * FROM (SELECT *, CASE WHEN slot > 0 AND lag(slot) OVER (PARTITION BY conv_id, speaker ORDER BY i) IS DISTINCT FROM slot - 1 THEN slot - 1 END AS epad FROM (
-        SELECT *, i + max(desired - i) OVER (PARTITION BY conv_id, speaker ORDER BY i) AS slot FROM desired)) JOIN lengths USING (conv_id) WHERE slot < num_frames""",
+        SELECT *, i + max(desired - i) OVER (PARTITION BY conv_id, speaker ORDER BY i) AS slot FROM desired)) JOIN lengths USING (conv_id, speaker) WHERE slot < num_frames""",
     "streams": """SELECT conv_id, speaker, list(coalesce(token, 3) ORDER BY frame) AS stream FROM (
         SELECT g.conv_id, g.speaker, g.frame, c.token FROM (SELECT conv_id, speaker, unnest(range(0, any_value(num_frames))) AS frame FROM slots GROUP BY conv_id, speaker) g
         LEFT JOIN (SELECT conv_id, speaker, slot AS frame, token FROM slots UNION ALL SELECT conv_id, speaker, epad, 0 FROM slots WHERE epad IS NOT NULL) c
         ON g.conv_id = c.conv_id AND g.speaker = c.speaker AND g.frame = c.frame) GROUP BY conv_id, speaker""",
+    "cut": "SELECT conv_id, speaker, stream[1 : num_frames] AS stream FROM streams JOIN packed USING (conv_id)",
     "chunks": """SELECT conv_id, speaker, chunk, start, stream[start + 1 : start + q + CASE WHEN chunk < r THEN 1 ELSE 0 END] AS tokens FROM (
         SELECT conv_id, speaker, stream, unnest(range(0, n)) AS chunk, q, r, unnest(range(0, n)) * q + least(unnest(range(0, n)), r) AS start FROM (
-            SELECT *, len(stream) // n AS q, len(stream) % n AS r FROM (SELECT *, ceil(len(stream) / 512.0)::INT AS n FROM streams)))
+            SELECT *, len(stream) // n AS q, len(stream) % n AS r FROM (SELECT *, ceil(len(stream) / 512.0)::INT AS n FROM cut)))
         WHERE q + CASE WHEN chunk < r THEN 1 ELSE 0 END >= 8""",
     "parts": """SELECT conv_id, turn, len(list_filter(regexp_split_to_array(string_split(text, '. ')[1], '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')) AS lead_words FROM turns WHERE speaker = 'B' AND contains(text, '. ')""",
     "ret_events": """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS event_no, greatest(0, floor(lead_onset_ms / 1000.0::DOUBLE * 12.5::DOUBLE)::INT - 1) AS ret_frame,
-            lead_onset_ms, body_onset_ms, body_onset_ms - lead_onset_ms AS d_lead_ms, round_even((body_onset_ms - lead_onset_ms) / 1000.0::DOUBLE * 12.5::DOUBLE, 0)::INT AS d_lead_frames
+            lead_onset_ms, body_onset_ms, body_onset_ms - lead_onset_ms AS d_lead_ms, floor((body_onset_ms - lead_onset_ms) / 1000.0::DOUBLE * 12.5::DOUBLE)::INT AS d_lead_frames
         FROM (SELECT conv_id, turn, min(start_ms) AS lead_onset_ms, min(start_ms) FILTER (nth >= lead_words) AS body_onset_ms FROM (
             SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY word_idx) - 1 AS nth FROM words) JOIN parts USING (conv_id, turn) GROUP BY conv_id, turn)
         WHERE body_onset_ms > lead_onset_ms""",
-    "placed": """SELECT e.conv_id, e.event_no, e.ret_frame, CASE WHEN h.epad IS NOT NULL THEN h.slot ELSE -1 END AS placed FROM ret_events e LEFT JOIN (
-        SELECT conv_id, event_no, min(slot) AS slot, arg_min(coalesce(epad, -9), slot) AS mark, CASE WHEN arg_min(coalesce(epad, -9), slot) >= 0 THEN 1 END AS epad FROM ret_events JOIN slots USING (conv_id)
-        WHERE speaker = 'B' AND slot >= ret_frame - 2 AND slot < ret_frame + 8 GROUP BY conv_id, event_no) h USING (conv_id, event_no)""",
+    # One event after the other, each on the stream that the marks before it have changed: a mark hides the end of pad that it replaced and counts as a token.
+    "cells": """SELECT conv_id, slot AS frame, 1 AS real FROM slots JOIN (SELECT conv_id, num_frames AS t FROM packed) USING (conv_id) WHERE speaker = 'B' AND slot < t
+        UNION ALL SELECT conv_id, epad, 0 FROM slots JOIN (SELECT conv_id, num_frames AS t FROM packed) USING (conv_id) WHERE speaker = 'B' AND epad < t""",
+    "near": """SELECT e.conv_id, event_no, ret_frame, coalesce(list(frame) FILTER (real = 1), []) AS reals, coalesce(list(frame) FILTER (real = 0), []) AS pads
+        FROM ret_events e LEFT JOIN cells c ON c.conv_id = e.conv_id AND frame BETWEEN ret_frame - 3 AND ret_frame + 7 GROUP BY ALL""",
+    "walk": """SELECT conv_id, -1::BIGINT AS event_no, []::INT[] AS marks, -1 AS placed FROM (SELECT DISTINCT conv_id FROM ret_events)
+        UNION ALL
+        SELECT conv_id, event_no, CASE WHEN spot >= 0 THEN list_append(marks, spot) ELSE marks END, spot FROM (
+            SELECT conv_id, event_no, marks, CASE WHEN first IS NOT NULL AND first > 0 AND list_contains(pads, first - 1) AND NOT list_contains(marks, first - 1) THEN first - 1 ELSE -1 END AS spot FROM (
+                SELECT s.conv_id, e.event_no, s.marks, list_min(list_filter(list_concat(s.marks, e.reals), lambda f: f >= e.ret_frame - 2 AND f < e.ret_frame + 8)) AS first, e.pads
+                FROM walk s JOIN near e ON e.conv_id = s.conv_id AND e.event_no = s.event_no + 1))""",
+    "placed": "SELECT conv_id, event_no, ret_frame, placed FROM walk JOIN ret_events USING (conv_id, event_no)",
 }
 ORDER = list(CTES)
 NEEDS = {
     "words": ["turns", "tokens", "words"],
     "runs": ["turns", "tokens", "words", "numbered", "runs"],
-    "manifest": ["turns", "tokens", "words", "manifest", "lengths"],
+    "manifest": ["turns", "tokens", "words", "manifest", "lengths", "packed"],
     "ticks": ["turns", "tokens", "words", "numbered", "runs", "heard", "breaks", "stops", "ticks"],
     "slots": ["turns", "tokens", "words", "lengths", "desired", "slots"],
 }
 NEEDS["hints"] = [*NEEDS["ticks"], "hints"]
 NEEDS["events"] = [*NEEDS["hints"], "events"]
-NEEDS["aligned"] = [*NEEDS["events"], "lengths", "aligned"]
+NEEDS["aligned"] = [*NEEDS["events"], "lengths", "packed", "aligned"]
 NEEDS["expanded"] = [*NEEDS["aligned"], "expanded"]
 NEEDS["streams"] = [*NEEDS["slots"], "streams"]
-NEEDS["chunks"] = [*NEEDS["streams"], "chunks"]
-NEEDS["ret_events"] = ["turns", "tokens", "words", "lengths", "parts", "ret_events"]
-NEEDS["placed"] = [*NEEDS["ret_events"], "desired", "slots", "placed"]
+NEEDS["cut"] = [*NEEDS["streams"], "packed", "cut"]
+NEEDS["chunks"] = [*NEEDS["cut"], "chunks"]
+NEEDS["ret_events"] = ["turns", "tokens", "words", "lengths", "packed", "parts", "ret_events"]
+NEEDS["placed"] = [*NEEDS["ret_events"], "desired", "slots", "cells", "near", "walk", "placed"]
 
 
 def number(seed: str, *columns: str) -> str:
@@ -90,7 +102,7 @@ def _with(name: str, body: str, interval_ms: int = 500, said: str = "hint") -> s
         for inner in ("said[k]", "word"):
             text = text.replace(f"TOKEN_OF({inner})", _token(inner))
         clauses.append(f"{n} AS ({text})")
-    return "WITH " + ",\n".join(clauses) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(clauses) + "\n" + body
 
 
 def words(body: str) -> str:
@@ -122,7 +134,7 @@ def aligned(body: str) -> str:
 
 
 def expanded(said: str, body: str) -> str:
-    return _with("expanded", body, 5000, said)
+    return _with("expanded", body, said=said)
 
 
 def slots(body: str) -> str:
@@ -133,6 +145,10 @@ def streams(body: str) -> str:
     return _with("streams", body)
 
 
+def cut(body: str) -> str:
+    return _with("cut", body)
+
+
 def chunks(body: str) -> str:
     return _with("chunks", body)
 
