@@ -197,7 +197,44 @@ def test_template_classes():
     pages = [html_extract.parse(PAGE.format(nav="n", title=f"t{i}", a="a" * i, b="b")) for i in range(4)]
     t = html_extract.deduce(pages)
     assert "<article>" in t.root and "</article>" in t.root and t.root.index("<article>") < t.root.index("</article>")
-    assert t.dropped[t.root.index("<nav>") + 1] and t.article[t.root.index("<article>") + 1]
+    assert t.main == (("<html>", "html"), ("<body>", "body"), ("<article>", "article"))
+    listed = html_extract.deduce([html_extract.parse(unnamed_page(i)[0]) for i in range(4)])
+    assert listed.menus and all(any("<a>" in c for c in listed.nested[slot]) for slot in listed.menus)
+
+
+# No name here tells anything: where the text is follows from its amount, its change from page to page and the lists of links.
+UNNAMED = """<html><body><div class="q1"><ul>{links}</ul></div><div class="q2"><div class="q5">{promo}</div><div class="q3"><h1>{title}</h1>{paragraphs}</div></div>
+<div class="q4">All rights reserved by the owners of this place, who wrote a long line that every page repeats, again and again and again.</div></body></html>"""
+
+
+def unnamed_page(i):
+    paragraphs = [f"Paragraph {k} of page {i} tells something that no other page does." for k in range(3 + i % 3)]
+    html = UNNAMED.format(
+        links="".join(f'<li><a href="/{k}">A link to somewhere {k} {i}</a></li>' for k in range(5 + i % 2)), promo=f"Offer {i}", title=f"Title {i}", paragraphs="".join(f"<p>{x}</p>" for x in paragraphs))
+    return html, " ".join([f"Title {i}", *paragraphs])
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 32])
+def test_template_decides_where_names_tell_nothing(n):
+    pages = [html_extract.parse(unnamed_page(i)[0]) for i in range(n)]
+    t = html_extract.deduce(pages)
+    assert [html_extract.extract(p, t) for p in pages] == [unnamed_page(i)[1] for i in range(n)]
+    nothing = html_extract.Template([], [[]], set(), set(), (), set())
+    assert all(html_extract.extract(p, nothing) != unnamed_page(i)[1] for i, p in enumerate(pages))
+
+
+def test_pages_of_a_hot_host_without_articles(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "PART_PAGES", 40)
+    df = spark.createDataFrame([(i, "https://one.example.com/" if i < 150 else f"https://h{i}.example.org/", unnamed_page(i)[0]) for i in range(160)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_pages(df).collect()} == {i: unnamed_page(i)[1] for i in range(160)}
+
+
+def test_very_long_page():
+    long = "<p>" + "word " * 400_000
+    for html in (f"<body><nav>m</nav><article>{long}</article></body>", "<div>" * 3000 + "deep" + "</div>" * 3000, "<" * 50_000, "<p " * 20_000):
+        page = html_extract.parse(html)
+        text = html_extract.extract(page, html_extract.deduce([page]))
+        assert not html.startswith("<body") or text.split() == ["word"] * 400_000
 
 
 @pytest.mark.parametrize("n", [1, 4])
