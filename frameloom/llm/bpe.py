@@ -2,7 +2,7 @@
 
 A partition's distinct pieces become rows of one token each. A recursive query joins neighbouring rows with
 the merge table, contracts the leftmost pair of lowest rank of every piece, and stops when no piece has a pair
-left. Decoding joins ids with the vocabulary and strings their bytes together in order. Pieces seen before are
+left; long pieces have a query of their own. Decoding joins ids with the vocabulary and strings their bytes together in order. Pieces seen before are
 looked up, so the work follows the distinct pieces.
 """
 
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import tempfile
 import warnings
 
 import numpy as np
@@ -21,9 +19,10 @@ from pyspark.sql import DataFrame
 from frameloom.llm.common import map_arrow
 from frameloom.llm.word_cache import ChunkCache
 
-#: Pieces of one recursive query, and the longest piece it takes. A round contracts one pair of each piece, so
-#: a longer piece would need rounds, and rows, with the square of its length: it is merged by a heap instead.
-SLICE, LONGEST = 30_000, 2_000
+#: Pieces and rows of one recursive query, and the bytes up to which a piece goes through the plain one. It contracts one pair of
+#: each piece a round, so longer pieces go through ENCODE_LONG, which contracts many occurrences of a pair at once where
+#: that comes to the same, for as many rounds as make LONG_ROWS rows; then it starts again from what they left.
+SLICE, SLICE_ROWS, LONG, LONG_ROWS = 30_000, 8_000_000, 512, 2_000_000
 
 #: A row's place is piece << SHIFT | position.
 SHIFT = 12
@@ -44,6 +43,29 @@ FROM (SELECT k, k >> {SHIFT} AS w, t, round, max(round) OVER (PARTITION BY k >>
 JOIN vocab ON id = t WHERE round = last GROUP BY w ORDER BY w
 """
 
+#: k is any ascending number. Occurrences of the pair of lowest rank are contracted from the left (of overlapping ones every
+#: other) up to the first one whose new token makes a pair of lower rank with a neighbour, as that pair's turn comes next.
+ENCODE_LONG = """
+WITH RECURSIVE step AS (
+    SELECT k, t, 0 AS round, true AS going FROM seed
+    UNION ALL
+    SELECT k, CASE WHEN pick THEN best ELSE t END, round + 1, best IS NOT NULL FROM (
+        SELECT *, coalesce(lag(pick) OVER (ORDER BY k), false) AS gone FROM (
+            SELECT *, chosen AND coalesce(sum(early::INT) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS pick FROM (
+                SELECT c.k, c.t, c.round, c.best, c.chosen, x.id IS NOT NULL OR y.id IS NOT NULL AS early FROM (
+                    SELECT *, CASE WHEN lag(chosen, 2) OVER (ORDER BY k) THEN best ELSE lag(t) OVER (ORDER BY k) END AS before, lead(t, 2) OVER (ORDER BY k) AS behind FROM (
+                        SELECT *, hit AND row_number() OVER (PARTITION BY hit, n - hits ORDER BY k) % 2 = 1 AS chosen FROM (
+                            SELECT *, sum(hit::INT) OVER (ORDER BY k) AS hits FROM (
+                                SELECT k, t, round, n, best, coalesce(id = best, false) AS hit FROM (
+                                    SELECT p.*, m.id, min(m.id) OVER () AS best FROM (
+                                        SELECT k, t, round, lead(t) OVER (ORDER BY k) AS follows, row_number() OVER (ORDER BY k) AS n FROM step WHERE going AND round < {rounds}) p
+                                    LEFT JOIN merges m ON m.a = p.t AND m.b = p.follows))))) c
+                LEFT JOIN merges x ON c.chosen AND x.a = c.before AND x.b = c.best AND x.id < c.best
+                LEFT JOIN merges y ON c.chosen AND y.a = c.best AND y.b = c.behind AND y.id < c.best)))
+    WHERE NOT gone)
+SELECT k, t, going FROM (SELECT *, max(round) OVER () AS last FROM step) WHERE round = last ORDER BY k
+"""
+
 DECODE = "SELECT w, string_agg(s, '' ORDER BY p) AS decoded FROM ids JOIN vocab USING (id) GROUP BY w ORDER BY w"
 
 _state: dict = {}
@@ -65,7 +87,7 @@ class Codec:
         self.ranks, self.pattern = load_ranks(path), regex.compile(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         a, b, i = np.array(merges, np.int32).T
         self._table("merges", {"a": a, "b": b, "id": i})
         self._table("vocab", {"id": np.array(list(self.ranks.values()), np.int32), "s": [t.decode("latin-1") for t in self.ranks]})
@@ -85,24 +107,14 @@ class Codec:
             self.db.unregister(name)
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """The same contraction for one long piece: a heap of (rank, position) over a linked list."""
-        ranks, n = self.ranks, len(piece)
-        end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank_at = lambda i: ranks.get(piece[i : end[end[i]]]) if end[i] < n else None
-        heap = [(r, i) for i in range(n) if (r := rank_at(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or rank_at(i) != r:
-                continue
-            gone = end[i]
-            alive[gone], end[i] = False, end[gone]
-            if end[i] < n:
-                prev[end[i]] = i
-            for j in (prev[i], i):
-                if j >= 0 and (r := rank_at(j)) is not None:
-                    heapq.heappush(heap, (r, j))
-        return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+        """The ids of one long piece, by ENCODE_LONG until nothing is left to contract."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        while True:
+            rounds = max(1, LONG_ROWS // len(ids))
+            got = self._query(ENCODE_LONG.format(rounds=rounds), "seed", pa.table({"k": np.arange(len(ids)), "t": ids}))
+            ids = got["t"].to_numpy()
+            if not got["going"][0].as_py():
+                return ids.tolist()
 
     def _contract(self, pieces: list[bytes]) -> list[tuple[list[int], bytes]]:
         lengths = np.array([len(p) for p in pieces])
@@ -127,15 +139,18 @@ class Codec:
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 todo.append((piece, [whole]))
-            elif len(raw) > LONGEST:
+            elif len(raw) > LONG:
                 todo.append((piece, self.merge_long(raw)))
         for at in range(0, len(todo), SLICE):
             part = todo[at : at + SLICE]
             for (piece, ids), raw in zip(part, self.decode([i for _, i in part]), strict=True):
                 self.pieces[piece] = (np.array(ids, "<u4").tobytes(), raw)
-        rest = [p for p in wanted if p not in self.pieces]
-        for at in range(0, len(rest), SLICE):
-            part = rest[at : at + SLICE]
+        rest = sorted((p for p in wanted if p not in self.pieces), key=len)
+        rows = np.cumsum([len(p.encode()) ** 2 for p in rest])  # a round for each contraction, and all rounds' rows are held
+        at = 0
+        while at < len(rest):
+            stop = max(at + 1, min(at + SLICE, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + SLICE_ROWS, "right"))))
+            part, at = rest[at:stop], stop
             for piece, (ids, raw) in zip(part, self._contract([p.encode() for p in part]), strict=True):
                 self.pieces[piece] = (np.array(ids, "<u4").tobytes(), raw)
 

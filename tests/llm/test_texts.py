@@ -43,6 +43,9 @@ def test_bpe(spark, reference):
 def test_long_pieces_and_small_caches(reference):
     codec = bpe.Codec(RANKS, PATTERN)
     assert codec.merge_long(b"abcab" * 700) == reference.encode_ordinary("abcab" * 700)
+    rng = random.Random(6)
+    for piece in ("".join(rng.choice(letters) for _ in range(n)) for letters, n in (("ab", 900), ("etaoinshr", 700), ("日本é", 600), ("=-", 3000), ("a", 5001))):
+        assert codec.merge_long(piece.encode()) == reference._encode_single_piece(piece.encode())
     codec.cache.limit = 3
     texts = [" ".join(t.split()[:20]) for t in ODD for _ in range(2)]
     for at in range(0, len(texts), 3):
