@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space of the texts at hand, and words that mark a verdict.
 SPACE = r"[ \t\n\x0B\f\r\x{3000}]"
@@ -126,3 +127,100 @@ def accept_backchannels(parts: Column, longest: int = 7, around: int = 6) -> Col
             F.struct(acc["out"].alias("out"), F.concat(acc["held"], p["text"]).alias("held"), F.lit("").alias("mark")))
 
     return F.aggregate(parts, start, step, lambda a: F.concat(a["out"], F.array(F.struct(F.lit("text").alias("kind"), a["held"].alias("text")))))
+
+
+# Kinds of need, grounds of a reference, marks that end or interrupt a text.
+NEED_KINDS = ("事実", "今の情報", "調べて", "考える", "読解")
+GROUNDS = ("会話", "記事", "知識", "推論", "想定", "作文")
+REFERENCE_LABELS = ("参照チャンク", "参照")
+SENTENCE_ENDS = ("。", "、")
+
+
+def need_kind(x: Column) -> Column:
+    """The first of the kinds, in their order, that the first line names; empty if none."""
+    line = first_line(strip_labels(x, ["判定"]))
+    out = F.lit("")
+    for kind in reversed(NEED_KINDS):
+        out = F.when(line.contains(kind), kind).otherwise(out)
+    return out
+
+
+def reference_of(x: Column) -> Column:
+    """A reference and its grounds, from the lines up to the one that names the grounds.
+
+    Lines are joined by 、 unless the text so far ends in 。 or 、; from the second on they lose their bullets.
+    """
+    lines = F.filter(F.transform(F.split(x, "\n"), lambda l: F.trim(l)), lambda l: l != "")
+    stop = F.coalesce(F.get(F.filter(F.transform(lines, lambda l, i: F.when(l.rlike("^根拠[:：]"), i)), lambda i: i.isNotNull()), F.lit(0)), F.size(lines))
+    said = F.slice(lines, F.lit(1), stop)
+    plain = F.transform(said, lambda l, i: F.when(i == 0, strip_labels(l, list(REFERENCE_LABELS))).otherwise(F.regexp_replace(l, r"^(?:[-・*●]|[0-9]+[.．、)）])[ \t\x{3000}]*", "")))
+    ends = lambda t: (t == "") | t.endswith("。") | t.endswith("、")
+    joined = F.aggregate(plain, F.lit(""), lambda t, l: F.when(ends(t), F.concat(t, l)).otherwise(F.concat(t, F.lit("、"), l)))
+    ground = F.substring(F.coalesce(F.get(lines, stop), F.lit("")), 4, 1 << 20)
+    return F.struct(joined.alias("reference"), F.filter(F.array(*[F.lit(g) for g in GROUNDS]), lambda g: ground.contains(g)).alias("grounds"))
+
+
+def numbered_lines(x: Column) -> Column:
+    """Structs of number and text of the lines "n: text", of each number the first."""
+    pattern = r"^\s*([0-9]+)\s*[:：]\s*(.*)$"
+    found = F.filter(F.split(x, "\n"), lambda l: l.rlike(pattern))
+    pairs = F.transform(found, lambda l: F.struct(F.regexp_extract(l, pattern, 1).cast("int").alias("n"), F.regexp_extract(l, pattern, 2).alias("text")))
+    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["n"] == p["n"]))
+
+
+def verdict_numbers(x: Column) -> Column:
+    """Structs of number and value of the lines "n: value": the first whole number in the value, null for none or なし; of each number the last."""
+    pattern = r"^\s*([0-9]+)\s*[:：]\s*(.+)$"
+    found = F.filter(F.split(x, "\n"), lambda l: l.rlike(pattern))
+    value = lambda l: F.regexp_extract(l, pattern, 2)
+    pairs = F.transform(found, lambda l: F.struct(
+        F.regexp_extract(l, pattern, 1).cast("int").alias("n"),
+        F.when(~value(l).contains("なし"), F.nullif(F.regexp_extract(value(l), "([0-9]+)", 1), F.lit("")).cast("int")).alias("value")))
+    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["n"] == p["n"]))
+
+
+def split_marks(x: Column) -> Column:
+    """Texts and, in between, what stands in ［ ］, as structs of kind and text."""
+    texts = F.split(x, "［[^］]*］")
+    marks = F.regexp_extract_all(x, F.lit("［([^］]*)］"), F.lit(1))
+    both = F.transform(texts, lambda t, i: F.array(
+        F.struct(F.lit("text").alias("kind"), t.alias("text")), F.struct(F.lit("mark").alias("kind"), F.trim(F.get(marks, i)).alias("text"))))
+    return F.filter(F.flatten(both), lambda p: p["text"].isNotNull())
+
+
+def same_but_blanks(a: Column, b: Column) -> Column:
+    blank = lambda x: F.regexp_replace(x, SPACE, "")
+    return blank(a) == blank(b)
+
+
+def strip_end_mark(x: Column, mark: str = "EOC") -> Column:
+    """The text without the mark at its end and the blanks around it; other texts stay as they are."""
+    return F.regexp_replace(x, r"[ \x{3000}]*" + mark + r"\s*$", "")
+
+
+def without_quotes(x: Column) -> Column:
+    """Without ellipses, quotation marks and brackets, which nobody speaks."""
+    return F.translate(x, "…「」『』（）", "")
+
+
+def json_object(x: Column) -> Column:
+    """The first JSON object with a key "turns" in a text, by the depth of its braces; else from the first to the last brace; else the text.
+
+    Nesting is beyond regular expressions, so this runs in Python.
+    """
+    def cut(x):
+        import re
+
+        if x is None:
+            return None
+        x = re.sub(r"<think>.*?</think>", "", x, flags=re.S).strip()
+        if m := re.search(r'\{[^{]*"turns"', x):
+            depth = 0
+            for brace in re.finditer(r"[{}]", x[m.start() :]):
+                depth += 1 if brace[0] == "{" else -1
+                if depth == 0:
+                    return x[m.start() : m.start() + brace.end()]
+        first, last = x.find("{"), x.rfind("}")
+        return x[first : last + 1] if 0 <= first < last else x
+
+    return F.udf(cut, StringType())(x)

@@ -105,3 +105,32 @@ def shifted_pairs(df: DataFrame, key: str) -> DataFrame:
     ranked = numbered(df.select(key), key)
     other = ranked.select(F.col(key).alias("other"), F.col("nth").alias("to"))
     return ranked.withColumn("to", F.pmod(F.col("nth") + n // 2, F.lit(max(n, 1)))).join(other, "to").select(key, "other")
+
+
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """df, or an error that names all columns it lacks."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError("missing columns: " + ", ".join(missing))
+    return df
+
+
+def exclude_incomplete(items: DataFrame, parts: DataFrame, found: DataFrame, key: str, part: str) -> DataFrame:
+    """Items all of whose parts were found; an item without parts stays. parts and found: <key>, <part>."""
+    lost = parts.join(found.select(key, part), [key, part], "left_anti").select(key).distinct()
+    return items.join(lost, key, "left_anti")
+
+
+def join_all(driver: DataFrame, tables: list[DataFrame], key: str, report: str | None = None) -> DataFrame:
+    """Inner join of all tables on the driver's names. report: folder to which names that a table lacks are written before an error is raised."""
+    if report:
+        lacking = [driver.select(key).join(t.select(key), key, "left_anti").withColumn("table_no", F.lit(n)) for n, t in enumerate(tables)]
+        missing = lacking[0]
+        for more in lacking[1:]:
+            missing = missing.unionByName(more)
+        missing.write.mode("overwrite").parquet(report)
+        if n := driver.sparkSession.read.parquet(report).count():
+            raise ValueError(f"{n} names without a partner, see {report}")
+    out = driver
+    for t in tables:
+        out = out.join(t, key)
+    return out

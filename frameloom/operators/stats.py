@@ -98,3 +98,36 @@ def renormalized_probability(df: DataFrame, group: str, logit: str, target: Colu
     return ranked.groupBy(group).agg(
         F.min(F.when(target, F.col("rank"))).alias("rank"),
         (F.coalesce(F.sum(F.when(target & (F.col("rank") <= k), F.col("e"))), F.lit(0.0)) / F.sum(F.when(F.col("rank") <= k, F.col("e")))).alias("p"))
+
+
+def rank_shares(df: DataFrame, rank: str, p: str, ranks: tuple[int, ...] = (1, 10, 25)) -> DataFrame:
+    """n, p_median, p_mean, rank_median and the shares of rows up to each rank."""
+    shares = [F.avg((F.col(rank) <= k).cast("int")).alias(f"top_{k}") for k in ranks]
+    return df.agg(F.count("*").alias("n"), F.median(p).alias("p_median"), F.avg(p).alias("p_mean"), F.median(rank).alias("rank_median"), *shares)
+
+
+def at_least_once(df: DataFrame, by: str, p: str) -> DataFrame:
+    """<by>, p_any: the probability of one hit or more, from those of independent trials."""
+    return df.groupBy(by).agg((1.0 - F.product(1.0 - F.col(p))).alias("p_any"))
+
+
+def false_triggers(df: DataFrame, targets: DataFrame, by: str, at: str, p: str) -> DataFrame:
+    """<by>, expected: the sum of probabilities outside of the targets (<by>, <at>)."""
+    return df.join(targets.select(by, at).distinct(), [by, at], "left_anti").groupBy(by).agg(F.sum(p).alias("expected"))
+
+
+def micro_accuracy(df: DataFrame, condition: str, hit: Column, special: Column) -> DataFrame:
+    """<condition>, n, accuracy, special_n, special_accuracy over all rows of a condition, and over its special ones."""
+    return df.groupBy(condition).agg(
+        F.count("*").alias("n"), F.avg(hit.cast("int")).alias("accuracy"), F.count_if(special).alias("special_n"), F.avg(F.when(special, hit.cast("int"))).alias("special_accuracy"))
+
+
+def from_reference(piece: Column, reference: Column, lead: Column) -> Column:
+    """Whether a piece is in the reference, and not in the lead that was said before it."""
+    plain = F.regexp_replace(piece, "▁", "")
+    return (plain != "") & reference.contains(plain) & ~lead.contains(plain)
+
+
+def retention(closed: Column, opened: Column, compressed: Column) -> Column:
+    """What share of the gain from closed to open the compressed form keeps; null without a gain."""
+    return F.when(opened > closed, (compressed - closed) / (opened - closed))

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 BASE_MS, PER_CHAR_MS, PAUSE_MS = 60, 40, 300
 
 
-def turns_of(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, speaker (A: user, B: assistant), text; other roles are dropped."""
+def turns_of(conversations: DataFrame, strict: bool = False) -> DataFrame:
+    """conv_id, turn, speaker (A: user, B: assistant), text; turns of other roles are dropped (see other_roles), strict raises on one."""
     speaker = F.when(F.col("role") == "user", "A").when(F.col("role") == "assistant", "B")
+    if strict:
+        speaker = speaker.otherwise(F.raise_error(F.concat(F.lit("unexpected role: "), F.coalesce("role", F.lit("null")))).cast("string"))
     return conversations.withColumn("speaker", speaker).where("speaker IS NOT NULL").select("conv_id", "turn", "speaker", "text")
 
 
+def other_roles(conversations: DataFrame) -> DataFrame:
+    """role, turns: what turns_of drops."""
+    return conversations.where("role IS NULL OR role NOT IN ('user', 'assistant')").groupBy("role").agg(F.count("*").alias("turns"))
+
+
 def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
@@ -72,7 +79,7 @@ def require_speakers(words: DataFrame, strict: bool = False) -> DataFrame:
     return flags.withColumn("valid", valid)
 
 
-def gaps_between_turns(words: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def gaps_between_turns(words: DataFrame) -> DataFrame:
     """Offset of each turn from the end of the one before, if another speaker had it; negative is overlap."""
     order = Window.partitionBy("conv_id").orderBy("turn")
     m = manifest_of(words)

@@ -558,3 +558,6 @@ def sessions(spark, d):
     new = F.when(F.col("ts") - F.lag("ts").over(order) < F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
     e = read_table(spark, d, "events").withColumn("new", new).withColumn("session", F.sum("new").over(order))
     return e.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+from frameloom.plans import more  # noqa: E402, F401 - registers its queries
