@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,16 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost one re-read.
 
-    The files are removed when the driver's file system client closes.
+    The files are removed when the driver's file system client closes. What was shuffled for them isn't needed any
+    more, and goes when the driver's JVM collects its garbage, so it is asked to, unless little was shuffled (small).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/frameloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    if not small:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,16 +65,38 @@ def bucket_count(df: DataFrame, bytes_each: int) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the machine: workers are kept for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work, schema: str | StructType) -> DataFrame:
     """mapInArrow whose workers can import this package."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(run, schema)
 
 
-def group_arrow(df: DataFrame, key: str, work, schema: str) -> DataFrame:
+def group_arrow(df: DataFrame, key: str, work, schema: str | StructType) -> DataFrame:
     """applyInArrow for each value of key, whose workers can import this package."""
+    def run(table):
+        try:
+            return work(table)
+        finally:
+            if table.nbytes > 1 << 20:
+                release_memory()
+
     ship(df.sparkSession)
-    return df.groupBy(key).applyInArrow(work, schema)
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def text_or_empty(name: str) -> Column:
@@ -87,7 +116,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def checksum(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    current = materialize(directed(edges), "components")
+    current = materialize(directed(edges), "components", small=True)
     before = checksum(current)
     for _ in range(max_rounds):
         if before[0] == 0:
@@ -99,7 +128,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        current = materialize(directed(small), "components")
+        current = materialize(directed(small), "components", small=True)
         after = checksum(current)
         if after == before:
             break

@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 SAMPLE_PER_CLASS, PASSAGES, PASSAGE = 1500, 32, 512
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 #: Bytes that go through the filters at once when scoring.
-SCORE_BYTES = 1 << 19
+SCORE_BYTES = 1 << 16
 
 
 def new_model(seed: int = 7) -> dict[str, np.ndarray]:
