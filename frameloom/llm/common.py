@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -32,20 +31,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost one re-read.
 
     The files are removed when the driver's file system client closes. What was shuffled for them isn't needed any
-    more, and goes when the driver's JVM collects its garbage, so it is asked to, unless little was shuffled (small).
+    more once they are written, and goes with the query.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/frameloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)  # select: a query takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    if not small:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -116,7 +124,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def checksum(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    current = materialize(directed(edges), "components", small=True)
+    current = materialize(directed(edges), "components")
     before = checksum(current)
     for _ in range(max_rounds):
         if before[0] == 0:
@@ -128,7 +136,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        current = materialize(directed(small), "components", small=True)
+        current = materialize(directed(small), "components")
         after = checksum(current)
         if after == before:
             break
