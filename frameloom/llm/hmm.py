@@ -1,9 +1,9 @@
 """Language-model scoring with a hidden Markov model.
 
 States emit word classes (a hash of the word, CLASSES of them), and a class emits its words by their counts in
-all training texts. The transition and class probabilities are trained by Baum-Welch: every task runs
-forward-backward over its training documents and hands on expected counts, whose sum over all tasks gives the
-next parameters. A text's score is the exact likelihood by the scaled forward recursion, times the probability
+all training texts. The first parameters are those of a mixture of documents, each of one state; from there the
+transition and class probabilities are trained by Baum-Welch. Both go over all training documents in every pass:
+a task hands on the expected counts of its own, whose sum over all tasks gives the next parameters. A text's score is the exact likelihood by the scaled forward recursion, times the probability
 of its words within their classes. The word counts stay distributed: each block of documents asks for the
 counts of its own vocabulary, and gets them back.
 """
@@ -19,16 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import group_arrow, map_arrow, materialize
+from frameloom.llm.common import group_arrow, map_arrow, materialize, shuffles_go
 
 STATES = 8
 #: Word classes; the parameters of the model are STATES x CLASSES numbers whatever the corpus holds.
 CLASSES = 1 << 15
-#: Passes of Baum-Welch over all training documents, and over the sample that the first parameters come from.
-FULL_PASSES, SAMPLE_PASSES = 2, 6
-#: Bound of that sample: documents, of any length; of one with more than STRETCHES * STRETCH words, so many stretches of so
-#: many words, spread evenly from its begin to its end.
-SAMPLE_DOCS, STRETCHES, STRETCH = 1500, 8, 500
+#: Passes over all training documents: of the mixture that the first parameters come from, and of Baum-Welch.
+MIXTURE_PASSES, FULL_PASSES = 12, 2
+#: Spread of the mixture's first class shares around the corpus's, as a standard deviation of their logarithm.
+SPREAD = 0.3
 #: Tokens of a block of documents, and of a group that one forward-backward takes.
 BLOCK_TOKENS, GROUP_TOKENS = 4_000_000, 1_000_000
 #: Weight, in tokens, of the overall class shares in each state's.
@@ -196,40 +195,27 @@ def grouped(sequences, limit: int = GROUP_TOKENS):
         yield group
 
 
-def first_model(sequences: list[np.ndarray], states: int, seed: int = 3) -> Model:
-    """Parameters from a bounded sample: documents are clustered by a mixture of class shares, then a few passes."""
-    rng = np.random.default_rng(seed)
-    if not sequences:
-        return Model.from_counts(np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states)))
-    doc = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
-    flat = np.concatenate(sequences).astype(np.int64)
-    belongs = rng.dirichlet(np.full(states, 0.3), len(sequences))
-    for _ in range(12):
-        weight = belongs[doc]
-        emit = np.stack([np.bincount(flat, weight[:, j], CLASSES) for j in range(states)], 1)
-        m = Model.from_counts(belongs.sum(0), np.zeros((states, states)), emit)
-        log = np.log(m.emit)[flat]
-        log = np.stack([np.bincount(doc, log[:, j], len(sequences)) for j in range(states)], 1) + np.log(m.start)
-        belongs = np.exp(log - log.max(1, keepdims=True))
-        belongs /= belongs.sum(1, keepdims=True)
-    move = np.full((states, states), 1.0) + np.eye(states) * 20 * states
-    m = Model.from_counts(belongs.sum(0), move * len(flat) / move.sum(), emit)
-    for _ in range(SAMPLE_PASSES):
-        sums = [Trellis(g).expected(m) for g in grouped(sequences)]
-        m = Model.from_counts(*(sum(x) for x in zip(*sums, strict=True)))
-    return m
+def mixture(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves (none) and emissions where a document is of one state from begin to end."""
+    lengths, k = np.array([len(s) for s in sequences]), len(m.start)
+    flat, begin, table = np.concatenate(sequences), np.cumsum(lengths) - lengths, np.log(m.emit)
+    log = np.tile(np.log(m.start), (len(sequences), 1))
+    for at in range(0, len(flat), GROUP_TOKENS):  # one text may be longer than a group
+        part = table.take(flat[at : at + GROUP_TOKENS], axis=0)
+        first, last = np.searchsorted(begin, at, side="right") - 1, np.searchsorted(begin, at + len(part))
+        log[first:last] += np.add.reduceat(part, np.maximum(begin[first:last] - at, 0), axis=0)
+    belongs = np.exp(log - log.max(1, keepdims=True))
+    belongs /= belongs.sum(1, keepdims=True)
+    counts = np.stack([np.bincount(flat, np.repeat(belongs[:, j], lengths), CLASSES) for j in range(k)], 1)
+    return belongs.sum(0), np.zeros((k, k)), counts
 
 
-def stretches(classes: F.Column) -> F.Column:
-    """A document's classes, or of a long one its stretches one after the other."""
-    words = F.floor(F.octet_length(classes) / 2)
-    begin = [1 + 2 * F.floor(i * (words - STRETCH) / (STRETCHES - 1)) for i in range(STRETCHES)]
-    parts = [F.substring(classes, b.cast("int"), F.lit(2 * STRETCH)) for b in begin]
-    return F.when(words <= STRETCHES * STRETCH, classes).otherwise(F.concat(*parts))
+def forward_backward(sequences: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return Trellis(sequences).expected(m)
 
 
-def baum_welch_pass(trained: DataFrame, m: Model) -> Model:
-    """One pass over all training documents; the summed counts are CLASSES + STATES + 1 rows at most."""
+def whole_pass(trained: DataFrame, m: Model, expected) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of all training documents; CLASSES + STATES + 1 rows at most reach the driver."""
     k = len(m.start)
     columns = ", ".join(f"s{j} double" for j in range(k))
 
@@ -237,7 +223,7 @@ def baum_welch_pass(trained: DataFrame, m: Model) -> Model:
         total = None
         sequences = (np.frombuffer(x, np.uint16) for batch in batches for x in batch.column(0).to_pylist())
         for group in grouped(sequences):
-            found = Trellis(group).expected(m)
+            found = expected(group, m)
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
             start, move, emit = total
@@ -246,13 +232,29 @@ def baum_welch_pass(trained: DataFrame, m: Model) -> Model:
             values = np.concatenate([start[None], move, emit[used]])
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(values[:, j]) for j in range(k))], names=["part", *(f"s{j}" for j in range(k))])
 
-    parts = map_arrow(trained, run, f"part bigint, {columns}")
-    rows = parts.groupBy("part").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k))).toArrow()
+    with shuffles_go(trained.sparkSession):
+        parts = map_arrow(trained, run, f"part bigint, {columns}")
+        rows = parts.groupBy("part").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k))).toArrow()
     at = rows["part"].to_numpy()
     values = np.stack([rows[f"s{j}"].to_numpy() for j in range(k)], 1) if len(at) else np.zeros((0, k))
     whole = np.zeros((CLASSES + k + 1, k))
     whole[at + k + 1] = values
-    return Model.from_counts(whole[0], whole[1 : k + 1], whole[k + 1 :])
+    return whole[0], whole[1 : k + 1], whole[k + 1 :]
+
+
+def first_model(trained: DataFrame, tokens: np.ndarray, states: int, seed: int = 3) -> Model:
+    """Parameters of a mixture of all training documents. tokens: of each class, its count in them.
+
+    The mixture starts from the classes' shares in the corpus, moved apart by a factor drawn for each class and state.
+    """
+    spread = np.exp(np.random.default_rng(seed).normal(0, SPREAD, (CLASSES, states)))
+    emit = (tokens + 0.5)[:, None] * spread
+    m = Model(np.full(states, 1 / states), np.full((states, states), 1 / states), emit / emit.sum(0))
+    for _ in range(MIXTURE_PASSES):
+        start, move, emit = whole_pass(trained, m, mixture)
+        m = Model.from_counts(start, move, emit)
+    move = np.full((states, states), 1.0) + np.eye(states) * 20 * states
+    return Model.from_counts(start, move * tokens.sum() / move.sum(), emit)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = FULL_PASSES) -> DataFrame:
@@ -266,14 +268,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     documents, words = encoded.where("kind = 0"), encoded.where("kind = 1")
     trained = documents.where("n = 1").select("classes")
 
-    # Ids are chosen first: a task then sends the driver ids, not texts, of which most would not be chosen.
-    known = documents.where("n = 1").select("id", stretches(F.col("classes")).alias("classes"))
-    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    sample = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("classes").alias("classes")).orderBy("id").collect()
-    m = first_model([np.frombuffer(r["classes"], np.uint16) for r in sample], states)
-    for _ in range(passes):
-        m = baum_welch_pass(trained, m)
-
     # A word's rows meet once: each gets the sum over all blocks, and the first of them speaks for the word.
     same = Window.partitionBy("data").orderBy("block")
     total = F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -287,6 +281,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     distinct[per_class["c"].to_numpy()] = per_class["v"].to_numpy()
     n, v = int(tokens.sum()), int(distinct.sum())
 
+    m = first_model(trained, tokens, states)
+    for _ in range(passes):
+        m = Model.from_counts(*whole_pass(trained, m, forward_backward))
+
     nothing = F.lit(None).cast("binary")
     known = known.select("block", F.lit(1).alias("kind"), "id", F.col("count").alias("n"), nothing.alias("data"), nothing.alias("classes"))
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]

@@ -103,6 +103,46 @@ def test_forward_and_counts_match_a_sum_over_paths():
     assert all(np.allclose(a, b, rtol=1e-3, atol=1e-5) for a, b in zip(got, (starts, moves, emits), strict=True))
 
 
+def test_mixture_counts(monkeypatch):
+    rng = np.random.default_rng(2)
+    k = 3
+    m = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm.CLASSES), k).T)
+    sequences = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 17, 2, 5, 1)]
+    starts, emits = np.zeros(k), np.zeros((hmm.CLASSES, k))
+    for x in sequences:
+        p = m.start * np.prod(m.emit[x], axis=0)
+        starts += p / p.sum()
+        for z in x:
+            emits[z] += p / p.sum()
+    for tokens in (100, 3, 5, 1):  # a text longer than a group is looked up in parts
+        monkeypatch.setattr(hmm, "GROUP_TOKENS", tokens)
+        got = hmm.mixture(sequences, m)
+        assert np.allclose(got[0], starts) and not got[1].any() and np.allclose(got[2], emits)
+
+
+def test_first_parameters_come_from_every_document(spark):
+    rng = random.Random(4)
+    text = lambda kind: " ".join(f"{kind}{rng.randint(1, 60)}" for _ in range(40))
+    ids = [r.id for r in spark.range(2300).orderBy(F.xxhash64("id"), "id").collect()]
+    train = [i for i in ids if cases.crc(i, 7) != 2]
+    kind = {i: "a" if at < 1500 else "bcd"[at % 3] for at, i in enumerate(train)}  # no bounded sample by this hash sees b, c or d
+    kind |= {i: "abcd"[at % 4] for at, i in enumerate(i for i in ids if i not in kind)}
+    df = spark.createDataFrame([(i, text(x)) for i, x in kind.items()], "doc_id long, text string")
+    gain = collections.defaultdict(list)
+    for r in hmm.score(df, passes=0).where("held_out").collect():
+        gain[kind[r.doc_id]].append((r.score - r.base_score) / r.n_tokens)
+    assert {x: min(g) > 0 for x, g in gain.items()} == dict.fromkeys("abcd", True)
+
+
+def test_passes_leave_no_shuffle_files(spark):
+    df = cases.documents(spark)
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+    encoded = hmm.encode(df, "doc_id", "text").where("kind = 0 AND n = 1").select("classes")
+    before = files()
+    hmm.first_model(encoded, np.ones(hmm.CLASSES), 2)
+    assert files() <= before + 4
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
