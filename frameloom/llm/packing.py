@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ CAPACITY = 2048
 SCALE = 1024.0
 #: A block is packed when it holds so many tokens or documents; a longer document makes a block of its own.
 BLOCK_TOKENS, BLOCK_DOCS = 4_000_000, 20_000
+#: A blank as the tokenizers library writes it in its vocabulary, and how many chunks are encoded strung together.
+BLANK, STRUNG = "\u0120", 500
 
 _state: dict = {}
 
@@ -33,6 +36,38 @@ OUT = pa.schema([
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+class ChunkEncoder:
+    """The ids of each chunk, as little-endian unsigned 32-bit integers.
+
+    Chunks of a blank and then no other, with no white space at their end or after that blank, are encoded strung
+    together: no piece reaches across such a blank, and of their tokens only the first of each chunk begins with one.
+    """
+
+    def __init__(self, tok):
+        self.tok = tok
+        vocab = tok.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in tok.get_vocab(with_added_tokens=False).items() if t.startswith(BLANK)]] = True
+
+    def single(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def strung(self, chunks: list[str]) -> list[bytes]:
+        ids = np.array(self.tok.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        begin = np.flatnonzero(self.begins[ids])
+        if len(begin) != len(chunks) or begin[0]:  # a tokenizer with other rules
+            return self.single(chunks)
+        raw, at = ids.tobytes(), [*(4 * begin).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        plain = [len(c) > 1 and c[0] == " " and c.rfind(" ") == 0 and not c[1].isspace() and not c[-1].isspace() for c in chunks]
+        together, alone = list(compress(chunks, plain)), [c for c, p in zip(chunks, plain, strict=True) if not p]
+        strung = (x for at in range(0, len(together), STRUNG) for x in self.strung(together[at : at + STRUNG]))
+        single = iter(self.single(alone))
+        return [next(strung if p else single) for p in plain]
+
+
 def tokenizer_cache(path: str) -> ChunkCache:
     """The tokenizers library's ids as little-endian unsigned 32-bit integers, one cache for each worker."""
     if path not in _state:
@@ -41,8 +76,7 @@ def tokenizer_cache(path: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        encode = lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-        _state[path] = ChunkCache(encode)
+        _state[path] = ChunkCache(ChunkEncoder(tok))
     return _state[path]
 
 

@@ -32,18 +32,21 @@ class ChunkCache:
     def texts(self, texts: Iterable[str]) -> list[list]:
         """The values of each text's chunks in order; whole texts, however long."""
         split = list(map(cut, texts))
-        heads = {s[0] for s in split}
+        first = list({s[0] for s in split})
+        head = dict(zip(first, self.encode(first), strict=True))
         wanted: set[str] = set()
+        found = []
         for s in split:
-            wanted.update(s[1:] if len(s) > 1 else ())
-        wanted.difference_update(self.inner)
+            values = [head[s[0]], *map(self.inner.get, s[1:])]
+            if None in values:
+                wanted.update(c for c, v in zip(s, values, strict=True) if v is None)
+            found.append(values)
         if len(self.inner) + len(wanted) > self.limit and self.inner:
-            self.inner = {}
-            for s in split:
-                wanted.update(s[1:])
+            self.inner = {}  # what was found stays found, but is asked for again when it comes up next
         todo = list(wanted)
-        self.inner.update(zip(todo, self.encode([" " + c for c in todo]), strict=True))
-        first = list(heads)
-        head = dict(zip(first, self.encode(first), strict=True))
-        look = self.inner.__getitem__
-        return [[head[s[0]], *map(look, s[1:])] for s in split]
+        got = dict(zip(todo, self.encode([" " + c for c in todo]), strict=True))
+        for s, values in zip(split, found, strict=True):
+            if None in values:
+                values[:] = [got[c] if v is None else v for c, v in zip(s, values, strict=True)]
+        self.inner.update(got)
+        return found

@@ -205,6 +205,34 @@ def test_packing(spark):
     assert packing.pack(cases.empty(spark), JSON).count() == 0
 
 
+def test_chunks_strung_together():
+    tok = Tokenizer.from_file(JSON)
+    rng = random.Random(8)
+    words = ["it's", "x.\ny", "日本語", "a\u00a0b", "\u00a0b", "c\u3000", "<|endoftext|>", "Ġ", "!?", "12.5", "\n", "", "e\n", "\x1cf", "'s", "é\u0301", "👍🏽", "g  h", "i \n", "\x85"]
+    words += ["".join(rng.choice("abcé日.,'1\n") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    encode = packing.ChunkEncoder(tok)
+    chunks = [" " + w for w in words] + ["head", "", "two words", "\ta"]
+    assert encode(chunks) == encode.single(chunks) and encode([]) == []
+    encode.begins[:] = False  # of a tokenizer with other rules each chunk goes by itself
+    assert encode(chunks) == encode.single(chunks)
+    cache = word_cache.ChunkCache(packing.ChunkEncoder(tok), limit=40)
+    texts = ODD + [" ".join(rng.choices(words, k=30)) for _ in range(40)]
+    for at in range(0, len(texts), 3):
+        for t, got in zip(texts[at : at + 3], cache.texts(texts[at : at + 3]), strict=True):
+            assert np.frombuffer(b"".join(got), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_a_full_cache_is_looked_up_not_gone_through():
+    class Filled(dict):
+        def __iter__(self):
+            raise AssertionError("every entry read for a few texts")
+
+    cache = word_cache.ChunkCache(lambda chunks: [c.upper() for c in chunks])
+    cache.inner = Filled({str(i): f" {i}" for i in range(1000)})
+    assert cache.texts(["a 5 b", "c 6 b"]) == [["A", " 5", " B"], ["C", " 6", " B"]]
+    assert len(cache.inner) == 1001
+
+
 def test_balanced_costs():
     rng = random.Random(1)
     lengths = np.array([rng.randint(1, 2047) for _ in range(400)])
