@@ -143,6 +143,42 @@ def test_passes_leave_no_shuffle_files(spark):
     assert files() <= before + 4
 
 
+def test_a_pass_hands_on_few_rows_and_whole_sums(spark, monkeypatch):
+    rng, frames, real = np.random.default_rng(5), [], hmm.map_arrow
+    monkeypatch.setattr(hmm, "map_arrow", lambda *a: frames.append(real(*a)) or frames[-1])
+    k = 3
+    m = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm.CLASSES), k).T)
+    sequences = [rng.integers(0, hmm.CLASSES, n).astype(np.uint16) for n in (1, 4000, 20, 1)]
+    df = spark.createDataFrame([(x.tobytes(),) for x in sequences], "classes binary")
+    for expected in (hmm.mixture, hmm.forward_backward):
+        got, whole = hmm.whole_pass(df.repartition(3), m, expected), expected(sequences, m)
+        assert all(np.allclose(a, b, rtol=1e-3, atol=1e-5) for a, b in zip(got, whole, strict=True))
+    frames.clear()
+    hmm.whole_pass(df.coalesce(1), m, hmm.mixture)
+    assert frames[0].count() <= 200  # what its only task makes; a row for each class seen would be over 3,000
+    assert not any(x.any() for x in hmm.whole_pass(df.where("false"), m, hmm.mixture))
+
+
+def test_encoded_words_are_those_of_plain_python(spark, monkeypatch):
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    texts = [t.encode() for t in ODD] + [None, b"\xff\xc3 A\xfe", b"\t\n\v\f\r Zz\x1cQ\x85 \x00 z", "ÄÉ ß \u2003x".encode(), b"w" * 5000, b"A a A b"]
+    df = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text binary").coalesce(1)
+    for tokens in (4_000_000, 20, 1):
+        monkeypatch.setattr(hmm, "BLOCK_TOKENS", tokens)
+        rows = hmm.encode(df, "doc_id", "text").collect()
+        words = {(r.block, r.id): r.data for r in rows if r.kind == 1}
+        got, counts = [], collections.Counter()
+        for r in (r for r in rows if r.kind == 0):
+            found = [words[r.block, x] for x in np.frombuffer(r.data, np.uint32).tolist()]
+            assert np.frombuffer(r.classes, np.uint16).tolist() == [0 if w == b" " else 1 + zlib.crc32(w) % (hmm.CLASSES - 1) for w in found]
+            counts.update((r.block, w) for w in found if r.n)
+            got.append((str(r.id), r.n, found))
+        expected = [(None if i == 3 else i, t) for i, t in enumerate(texts)]
+        assert sorted(got) == sorted((str(i), int(i is None or cases.crc(i, 7) != 2), [*(t or b"").translate(lower).split(), b" "]) for i, t in expected)
+        assert {(r.block, r.data): r.n for r in rows if r.kind == 1 and r.n} == counts
+        assert len(words) == len({(b, w) for (b, _), w in words.items()}) and (tokens > 1 or len({b for b, _ in words}) == len(texts))
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
