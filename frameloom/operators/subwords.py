@@ -31,15 +31,20 @@ def speaker_texts(spaced: DataFrame) -> DataFrame:
     return spaced.groupBy("conv_id", "speaker").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
 
 
-def char_times(spaced: DataFrame) -> DataFrame:
-    """conv_id, speaker, pos, start_s, end_s: each word's time in equal parts to its characters; empty words have none."""
+def word_spans(spaced: DataFrame) -> DataFrame:
+    """conv_id, speaker, pos, size, start_s, each: each word's first character, how many it has and the time of one; empty words have none."""
     order = Window.partitionBy("conv_id", "speaker").orderBy("n")
     size = F.char_length("text")
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    words = spaced.withColumns({"size": size, "before": before, "each": F.try_divide(F.col("end_s") - F.col("start_s"), size)}).where("size > 0")
-    chars = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    words = spaced.withColumns({"size": size, "pos": before, "each": F.try_divide(F.col("end_s") - F.col("start_s"), size)}).where("size > 0")
+    return words.select("conv_id", "speaker", "pos", "size", "start_s", "each")
+
+
+def char_times(spaced: DataFrame) -> DataFrame:
+    """conv_id, speaker, pos, start_s, end_s: each word's time in equal parts to its characters; empty words have none."""
+    chars = word_spans(spaced).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     return chars.select(
-        "conv_id", "speaker", (F.col("before") + F.col("i")).cast("int").alias("pos"),
+        "conv_id", "speaker", (F.col("pos") + F.col("i")).alias("pos"),
         (F.col("start_s") + F.col("i") * F.col("each")).alias("start_s"), (F.col("start_s") + (F.col("i") + 1) * F.col("each")).alias("end_s"))
 
 
@@ -84,28 +89,44 @@ def pieces_of_rule(texts: DataFrame, longest: int = 4) -> DataFrame:
 def token_times(pieces: DataFrame, chars: DataFrame, strict: bool = False) -> DataFrame:
     """conv_id, speaker, i, token, start_s, end_s, status: each token's time is that of its characters, from the first to the last.
 
-    The mark in front of the first token is no character, and a first token that is only a mark is left out. status
-    is ok, or empty for a token for which no characters are left (no times); strict raises on the latter, and on
-    characters that no token took.
+    chars: those of char_times, or their words by word_spans. The mark in front of the first token is no character,
+    and a first token that is only a mark is left out. status is ok, or empty for a token for which no characters are
+    left (no times); strict raises on the latter, and on characters that no token took.
+
+    Tokens ask for the times of their first and last characters. Words and requests of a speaker stand in the order of
+    characters, and each request takes the word before it, so no table of characters is joined or broadcast.
     """
-    order = Window.partitionBy("conv_id", "speaker").orderBy("i")
+    speaker = Window.partitionBy("conv_id", "speaker")
     leads = (F.col("i") == 0) & F.col("token").startswith(MARK)
     width = F.char_length("token") - leads.cast("int")
     taken = pieces.where(~((F.col("i") == 0) & (F.col("token") == MARK))).withColumn("width", width)
-    taken = taken.withColumn("first", F.coalesce(F.sum("width").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    total = chars.groupBy("conv_id", "speaker").agg(F.max("pos").alias("last_char"))
-    taken = taken.join(total, ["conv_id", "speaker"], "left").withColumn("last", F.least(F.col("first") + F.col("width") - 1, F.col("last_char")).cast("int"))
-    begin = chars.select("conv_id", "speaker", F.col("pos").alias("first"), "start_s")
-    end = chars.select("conv_id", "speaker", F.col("pos").alias("last"), "end_s")
-    found = taken.join(begin, ["conv_id", "speaker", "first"], "left").join(end, ["conv_id", "speaker", "last"], "left")
-    empty = F.col("start_s").isNull() | (F.col("width") == 0)
+    before = F.sum("width").over(speaker.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    taken = taken.withColumn("first", F.coalesce(before, F.lit(0)).cast("int"))
+    stop = F.col("first") + F.col("width")
+    asked = taken.withColumn("at", F.explode(F.array(
+        F.struct(F.col("first").alias("pos"), F.lit(1).alias("kind")), F.struct(F.greatest("first", stop - 1).alias("pos"), F.lit(2).alias("kind")))))
+    asked = asked.select("conv_id", "speaker", "at.pos", "at.kind", "i", "token", "width", stop.alias("stop"))
+
+    word = F.struct("pos", "size", "start_s", "each") if "each" in chars.columns else F.struct("pos", F.lit(1).alias("size"), "start_s", "end_s")
+    words = chars.where("conv_id IS NOT NULL AND speaker IS NOT NULL").select("conv_id", "speaker", "pos", F.lit(0).alias("kind"), word.alias("word"))
+    order = speaker.orderBy("pos", F.col("kind") > 0, "i", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.unionByName(words, allowMissingColumns=True).withColumns({
+        "word": F.last("word", ignorenulls=True).over(order), "last_char": F.max(F.when(F.col("kind") == 0, F.col("word.pos") + F.col("word.size") - 1)).over(speaker)})
+    at = F.least("pos", "last_char") - F.col("word.pos")
+    inside = at < F.col("word.size")
+    begins, ends = (F.col("word.start_s") + at * F.col("word.each"), F.col("word.start_s") + (at + 1) * F.col("word.each")) if "each" in chars.columns else (F.col("word.start_s"), F.col("word.end_s"))
+    begin = F.when(F.col("kind") == 1, F.struct(F.when(inside & (F.col("pos") <= F.col("last_char")), begins).alias("s")))
+    found = rows.withColumn("begin", F.last(begin, ignorenulls=True).over(order))
+    if strict:
+        found = found.withColumn("left", F.max("stop").over(speaker) <= F.col("last_char"))
+    empty = F.col("begin.s").isNull() | (F.col("width") == 0)
     status = F.when(empty, "empty").otherwise("ok")
     if strict:
         where = F.concat_ws("/", "conv_id", "speaker")
-        left = F.max(F.col("first") + F.col("width")).over(Window.partitionBy("conv_id", "speaker")) <= F.col("last_char")
         status = (F.when(empty, F.raise_error(F.concat(F.lit("no characters left for token "), F.col("token"), F.lit(" of "), where)).cast("string"))
-                  .when(left, F.raise_error(F.concat(F.lit("characters left behind the tokens of "), where)).cast("string")).otherwise("ok"))
-    return found.select("conv_id", "speaker", "i", "token", F.when(~empty, F.col("start_s")).alias("start_s"), F.when(~empty, F.col("end_s")).alias("end_s"), status.alias("status"))
+                  .when(F.col("left"), F.raise_error(F.concat(F.lit("characters left behind the tokens of "), where)).cast("string")).otherwise("ok"))
+    return found.where("kind = 2").select(
+        "conv_id", "speaker", "i", "token", F.when(~empty, F.col("begin.s")).alias("start_s"), F.when(~empty & inside, ends).alias("end_s"), status.alias("status"))
 
 
 def token_slots(times: DataFrame) -> DataFrame:

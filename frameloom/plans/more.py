@@ -33,7 +33,7 @@ def _with_more(more: str, body: str) -> str:
 
 def _pieces(spark, d):
     spaced = subwords.spaced_words(_words(spark, d))
-    return subwords.token_times(subwords.pieces_of_rule(subwords.speaker_texts(spaced)), subwords.char_times(spaced))
+    return subwords.token_times(subwords.pieces_of_rule(subwords.speaker_texts(spaced)), subwords.word_spans(spaced))
 
 
 @query(_with_more(SPACED, "SELECT conv_id, speaker, pos, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM chars"))

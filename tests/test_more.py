@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import arrays, text
 from frameloom.operators import dataset, examples, stats, subwords, words
+from frameloom.plans import more
 
 WORD = "conv_id long, word_idx int, speaker string, word string, start_ms long, end_ms long"
 TOKEN = "conv_id long, speaker string, i int, token string"
@@ -129,3 +130,24 @@ def test_evaluation(spark):
     assert value(spark, stats.retention(F.lit(2), F.lit(10), F.lit(8))) == 0.75 and value(spark, stats.retention(F.lit(2), F.lit(2), F.lit(8))) is None
     flags = [value(spark, stats.from_reference(F.lit(p), F.lit("the red fox"), F.lit("the"))) for p in ("▁red", "▁the", "▁", "blue")]
     assert flags == [True, False, False, False]
+
+
+def spans_and_chars(spark):
+    said = [(c, i, s, x, 100 * i, 100 * i + 40 * len(x)) for c in (1, 2) for s in "AB" for i, x in enumerate(["abc", "", "d", "éfghi", "j"][c - 1:])]
+    spaced = subwords.spaced_words(spark.createDataFrame(said, WORD), False)
+    pieces = subwords.pieces_of_rule(subwords.speaker_texts(spaced), 2)
+    return pieces, subwords.word_spans(spaced), subwords.char_times(spaced)
+
+
+def test_words_give_tokens_the_times_that_their_characters_give(spark):
+    pieces, spans, chars = spans_and_chars(spark)
+    by_words, by_chars = (sorted(map(tuple, subwords.token_times(pieces, x).collect())) for x in (spans, chars))
+    assert len(by_words) == 18 and [r[:4] + r[6:] for r in by_words] == [r[:4] + r[6:] for r in by_chars]
+    assert [r[4:6] for r in by_words] == [pytest.approx(r[4:6]) for r in by_chars]
+
+
+@pytest.mark.parametrize("slots", [True])
+def test_no_table_of_characters_is_joined_for_tokens(spark, slots):
+    query = more.piece_slots if slots else more.piece_times
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Join" not in plan and "Broadcast" not in plan
