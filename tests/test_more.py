@@ -146,7 +146,7 @@ def test_words_give_tokens_the_times_that_their_characters_give(spark):
     assert [r[4:6] for r in by_words] == [pytest.approx(r[4:6]) for r in by_chars]
 
 
-@pytest.mark.parametrize("slots", [True])
+@pytest.mark.parametrize("slots", [True, False])
 def test_no_table_of_characters_is_joined_for_tokens(spark, slots):
     query = more.piece_slots if slots else more.piece_times
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
