@@ -43,14 +43,19 @@ def numbered(df: DataFrame, *keys: str) -> DataFrame:
     """df with nth, its rows' running number from zero in the order of keys, without one task that sees all rows.
 
     Ranges of the keys are numbered by themselves and shifted by the sizes of those before: one broadcast row for
-    each range.
+    each range. Bounds of ranges are drawn anew whenever they are made, so one table holds their bounds and their
+    sizes, and rows find their range by its bounds.
     """
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__range", F.spark_partition_id())
-    sizes = ranged.groupBy("__range").count()
-    before = sizes.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    rows = ranged.withColumn("__inside", inside).join(F.broadcast(before), "__range")
-    return rows.withColumn("nth", F.col("__inside") + F.col("__before")).drop("__range", "__inside", "__before")
+    key = F.struct(*keys)
+    dealt = df.select(*keys).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("__part")).agg(F.min(key).alias("__low"), F.count("*").alias("__size"))
+    order = Window.orderBy("__low")
+    before = F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.select("__low", before.alias("__before"), F.lead("__low").over(order).alias("__high"))
+    mine = (F.col("__low") <= F.col("__key")) & (F.col("__high").isNull() | (F.col("__key") < F.col("__high")))
+    rows = df.withColumn("__key", key).join(F.broadcast(ranges), mine)
+    inside = F.row_number().over(Window.partitionBy("__before").orderBy(*keys)) - 1
+    return rows.withColumn("nth", inside + F.col("__before")).drop("__key", "__low", "__high", "__before")
 
 
 def shard_files(df: DataFrame, key: str, per_shard: int, prefix: str) -> DataFrame:

@@ -151,3 +151,11 @@ def test_no_table_of_characters_is_joined_for_tokens(spark, slots):
     query = more.piece_slots if slots else more.piece_times
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "Join" not in plan and "Broadcast" not in plan
+
+
+def test_numbers_of_a_table_whose_ranges_are_sampled(spark):
+    n = 40_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.col("id").cast("string").alias("other")).repartition(8, "other")
+    assert dataset.numbered(df, "k").where("nth <> k OR other IS NULL").count() == 0
+    twice = dataset.numbered(df.unionByName(df.where("k < 10")).withColumn("k", F.when(F.col("k") >= 5, F.col("k"))), "k", "other")
+    assert twice.agg(F.count("*"), F.min("nth"), F.max("nth"), F.count_distinct("nth")).first()[:] == (n + 10, 0, n + 9, n + 10)
