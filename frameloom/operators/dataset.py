@@ -9,6 +9,10 @@ from frameloom.functions.text import normalized, windows_of
 
 #: Items meet documents by their first so many characters; shorter ones are compared with every document.
 ANCHOR = 16
+#: Rows that grow on the way are dealt into parts of so many bytes of the files that they come from.
+PART_BYTES = 1 << 20
+#: Catalyst's way to say that it doesn't know a size is one beyond this.
+UNKNOWN_BYTES = 1 << 53
 
 
 def name_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -39,6 +43,20 @@ def select_batch(candidates: list[DataFrame], claimed: DataFrame, key: str, n: i
     return out.join(claimed, key, "left_anti").orderBy(key).limit(n)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by hash of its keys, into more parts the larger the files are, so that what a task holds doesn't grow with the input.
+
+    All tables made from the same files get the same number of parts, and joins by these keys move nothing. Files
+    below one part are dealt as the session would.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    parts = -(-sum(x for x in sizes if x < UNKNOWN_BYTES) // PART_BYTES)
+    if parts <= 1:
+        return df.repartition(*keys)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def numbered(df: DataFrame, *keys: str) -> DataFrame:
     """df with nth, its rows' running number from zero in the order of keys, without one task that sees all rows.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.dataset import dealt
+
 BASE_MS, PER_CHAR_MS, PAUSE_MS = 60, 40, 300
 
 
@@ -26,8 +28,11 @@ def split_words(text: Column) -> Column:
 
 
 def words_of(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, speaker, word_idx, word, start_ms, end_ms: words in a row, a pause between turns."""
-    words = turns.select("conv_id", "turn", "speaker", F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
+    """conv_id, turn, speaker, word_idx, word, start_ms, end_ms: words in a row, a pause between turns.
+
+    Turns are dealt by conversation before they are split, as texts are smaller than their words.
+    """
+    words = dealt(turns.select("conv_id", "turn", "speaker", "text"), "conv_id").select("conv_id", "turn", "speaker", F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
     order = Window.partitionBy("conv_id").orderBy("turn", "pos")
     first = F.when(F.col("pos") == 0, 1).otherwise(0)
     spent = F.lit(BASE_MS) + PER_CHAR_MS * F.length("word")

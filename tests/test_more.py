@@ -159,3 +159,13 @@ def test_numbers_of_a_table_whose_ranges_are_sampled(spark):
     assert dataset.numbered(df, "k").where("nth <> k OR other IS NULL").count() == 0
     twice = dataset.numbered(df.unionByName(df.where("k < 10")).withColumn("k", F.when(F.col("k") >= 5, F.col("k"))), "k", "other")
     assert twice.agg(F.count("*"), F.min("nth"), F.max("nth"), F.count_distinct("nth")).first()[:] == (n + 10, 0, n + 9, n + 10)
+
+
+def test_parts_grow_with_the_files(spark, monkeypatch):
+    query, folder = more.char_times, "/root/testdata/sf0.001"
+    rows = sorted(map(tuple, query(spark, folder).where("conv_id < 3").collect()))
+    monkeypatch.setattr(dataset, "PART_BYTES", 1024)
+    larger = query(spark, folder)
+    assert larger._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert 20 < larger.rdd.getNumPartitions() < 40
+    assert rows == sorted(map(tuple, larger.where("conv_id < 3").collect()))
