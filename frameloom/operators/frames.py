@@ -238,13 +238,13 @@ def expand_events(events: DataFrame, text: str) -> DataFrame:
     events without a word. Tokens are clipped at num_frames only. An event that the next one outlasts makes cells up
     to the next one's start, as the rest is covered.
     """
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    sized = events.select("conv_id", "event_idx", "pos", "num_frames", words.alias("words")).where(F.size("words") > 0)
-    sized = sized.withColumn("stop", F.least(F.col("pos") + F.size("words") + 1, F.col("num_frames")))
+    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    sized = events.select("conv_id", "event_idx", "pos", "num_frames", F.size(words(F.col(text))).alias("n"), F.col(text).alias("text")).where("n > 0")
+    sized = sized.withColumn("stop", F.least(F.col("pos") + F.col("n") + 1, F.col("num_frames")))
     order = Window.partitionBy("conv_id").orderBy("pos", "event_idx")
     stop = F.when(F.lead("stop").over(order) >= F.col("stop"), F.lead("pos").over(order)).otherwise(F.col("stop"))
     sized = sized.withColumn("stop", stop).where("stop > pos")
-    tokens = F.concat(F.array(F.lit(START).cast("bigint")), F.transform(F.slice("words", F.lit(1), F.col("stop") - F.col("pos") - 1), lambda w: token_of(w)))
+    tokens = F.concat(F.array(F.lit(START).cast("bigint")), F.transform(F.slice(words(F.col("text")), F.lit(1), F.col("stop") - F.col("pos") - 1), lambda w: token_of(w)))
     cells = sized.select("conv_id", "event_idx", "pos", F.posexplode(tokens).alias("k", "token")).withColumn("frame", F.col("pos") + F.col("k"))
     return cells.groupBy("conv_id", "frame").agg(F.max_by("token", F.struct("pos", "event_idx")).alias("token"))
 

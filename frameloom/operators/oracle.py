@@ -6,21 +6,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.operators.words import runs_of, with_runs
+from frameloom.operators.words import with_runs
 
 #: A pause of so many milliseconds between ends of words ends the utterance.
 BREAK_MS = 1000
 HINT_RATIO = 0.5
 
 
-def oracle_ticks(words: DataFrame, interval_ms: int = 500, target: str | None = None) -> DataFrame:
-    """conv_id, tick, timestamp_ms, word_idx, speaker, spoken, total, ratio, run.
-
-    A tick at k * interval sees the words that have ended by then; it needs two of them and ends before the last
-    word does. Every tick falls between two ends of words, so each word makes its own ticks and nothing is joined.
-    target keeps the ticks at which this speaker is to come next. Expects words in order of their ends, see
-    is_ordered; oracle_ticks_unordered takes any.
-    """
+def _heard(words: DataFrame) -> DataFrame:
+    """Words with run, spoken, total and next_end: all that the ticks between a word's end and the next one's see."""
     order = Window.partitionBy("conv_id").orderBy("word_idx")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("conv_id").orderBy(F.desc("word_idx")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that grows costs each row once
@@ -33,16 +27,30 @@ def oracle_ticks(words: DataFrame, interval_ms: int = 500, target: str | None =
         "n": F.count("*").over(everything)})
     base = base.withColumn("next_break", F.coalesce(F.min(F.when(F.col("is_break"), F.col("word_idx"))).over(ahead), F.col("n")))
     other = F.coalesce(F.when(F.col("speaker") == "A", F.col("last_b")).otherwise(F.col("last_a")), F.lit(-1))
+    base = base.withColumn("spoken", F.col("word_idx") - other)
+    return base.withColumn("total", F.col("spoken") + F.col("next_break") - F.col("word_idx") - 1)
+
+
+def _ticks(heard: DataFrame, interval_ms: int, target: str | None, *more: str) -> DataFrame:
     first, last = F.ceil(F.col("end_ms") / interval_ms), F.ceil(F.col("next_end") / interval_ms) - 1
-    ticks = base.withColumn("spoken", F.col("word_idx") - other).where("word_idx >= 1 AND next_end IS NOT NULL")
-    ticks = ticks.withColumn("tick", F.explode(F.when(first <= last, F.sequence(first, last))))
-    total = F.col("spoken") + F.col("next_break") - F.col("word_idx") - 1
+    ticks = heard.where("word_idx >= 1 AND next_end IS NOT NULL").withColumn("tick", F.explode(F.when(first <= last, F.sequence(first, last))))
     found = ticks.select(
-        "conv_id", "tick", (F.col("tick") * interval_ms).alias("timestamp_ms"), "word_idx", "speaker", "run", "spoken", total.alias("total"),
-        (F.col("spoken") / total).alias("ratio"))
+        "conv_id", "tick", (F.col("tick") * interval_ms).alias("timestamp_ms"), "word_idx", "speaker", "run", "spoken", "total",
+        (F.col("spoken") / F.col("total")).alias("ratio"), *more)
     return found.where(F.col("speaker") != target) if target else found
 
 
+def oracle_ticks(words: DataFrame, interval_ms: int = 500, target: str | None = None) -> DataFrame:
+    """conv_id, tick, timestamp_ms, word_idx, speaker, spoken, total, ratio, run.
+
+    A tick at k * interval sees the words that have ended by then; it needs two of them and ends before the last
+    word does. Every tick falls between two ends of words, so each word makes its own ticks and nothing is joined.
+    target keeps the ticks at which this speaker is to come next. Expects words in order of their ends, see
+    is_ordered; oracle_ticks_unordered takes any.
+    """
+    return _ticks(_heard(words), interval_ms, target)
+
+
 def is_ordered(words: DataFrame) -> DataFrame:
     """conv_id, ordered: whether words end in list order."""
     order = Window.partitionBy("conv_id").orderBy("word_idx")
@@ -88,10 +96,18 @@ def oracle_ticks_unordered(words: DataFrame, interval_ms: int = 500, target: str
 
 
 def oracle_hints(words: DataFrame, interval_ms: int = 500, target: str | None = None) -> DataFrame:
-    """Ticks with hint, the whole next run of the other speaker; a conversation stops where there is none."""
-    runs = runs_of(words)
-    after = runs.select("conv_id", (F.col("run") - 1).alias("run"), F.col("text").alias("hint"))
-    return oracle_ticks(words, interval_ms, target).join(after, ["conv_id", "run"]).where("hint <> ''")
+    """Ticks with hint, the whole next run of the other speaker; a conversation stops where there is none.
+
+    A run gathers its words, which are its text and make its ticks, and takes the text of the run behind it; so ticks
+    and texts stay where their conversation is, without a join.
+    """
+    kept = ["word_idx", "word", "speaker", "end_ms", "next_end", "spoken", "total"]
+    runs = _heard(words).groupBy("conv_id", "run").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("ws"))
+    text = F.array_join(F.transform("ws", lambda w: w["word"]), " ")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("run"))
+    hinted = runs.withColumn("text", text).withColumn("hint", after).where("hint <> '' AND conv_id IS NOT NULL")
+    heard = hinted.select("conv_id", "run", "hint", F.explode("ws").alias("w")).select("conv_id", "run", "hint", *[F.col(f"w.{c}").alias(c) for c in kept])
+    return _ticks(heard, interval_ms, target, "hint")
 
 
 def oracle_events(words: DataFrame, interval_ms: int = 500, target: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import text
 from frameloom.operators import dataset, frames, oracle, stats, words
+from frameloom.plans import catalog
 
 WORD = "conv_id long, word_idx int, speaker string, word string, start_ms long, end_ms long"
 
@@ -271,3 +273,9 @@ def test_reports(spark):
     row = stats.mcnemar(flags, "a", "b").first()
     assert (row.only_a, row.only_b, row.significant) == (9, 1, True)
     assert stats.mcnemar(flags.where("a AND b"), "a", "b").first().z is None
+
+
+def test_hints_stay_where_their_conversation_is(spark):
+    plan = catalog.QUERIES["oracle_expand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") == 1  # only that with the conversations' lengths
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"conv_id"} and "run#" not in "".join(re.findall(r"Exchange hashpartitioning\(.*", plan))
