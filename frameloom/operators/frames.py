@@ -25,9 +25,13 @@ def frame_of_seconds(s: Column) -> Column:
     return F.round((s - s % F.lit(FRAME_S)) / F.lit(FRAME_S)).cast("int")
 
 
+def _frames_to(end_ms: Column) -> Column:
+    return F.floor((end_ms / 1000.0 + 1) * RATE).cast("int")
+
+
 def streams_length(words: DataFrame) -> DataFrame:
     """conv_id, speaker, num_frames: each speaker's text goes up to one second after that speaker's last word."""
-    return words.groupBy("conv_id", "speaker").agg(F.floor((F.max("end_ms") / 1000.0 + 1) * RATE).cast("int").alias("num_frames"))
+    return words.groupBy("conv_id", "speaker").agg(_frames_to(F.max("end_ms")).alias("num_frames"))
 
 
 def packed_length(lengths: DataFrame) -> DataFrame:
@@ -50,12 +54,13 @@ def text_slots(words: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id", "speaker").orderBy("word_idx")
     d = frame_of_seconds(F.col("start_ms") / 1000.0)
-    tokens = words.select("conv_id", "speaker", (F.row_number().over(order) - 1).alias("i"), "word_idx", token_of(F.col("word")).alias("token"), d.alias("desired"))
+    tokens = words.select("conv_id", "speaker", (F.row_number().over(order) - 1).alias("i"), "word_idx", token_of(F.col("word")).alias("token"), d.alias("desired"),
+                          _frames_to(F.max("end_ms").over(Window.partitionBy("conv_id", "speaker"))).alias("num_frames"))
     slot = F.col("i") + F.max(F.col("desired") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     tokens = tokens.withColumn("slot", slot)
     before = F.lag("slot").over(order)
     epad = F.when((F.col("slot") > 0) & (before.isNull() | (before != F.col("slot") - 1)), F.col("slot") - 1)
-    tokens = tokens.withColumn("epad", epad).join(streams_length(words), ["conv_id", "speaker"]).where("slot < num_frames")
+    tokens = tokens.withColumn("epad", epad).where("conv_id IS NOT NULL AND speaker IS NOT NULL AND slot < num_frames")
     return tokens.select("conv_id", "speaker", "i", "token", "desired", "slot", "epad")
 
 
@@ -80,7 +85,7 @@ def token_stream(slots: DataFrame, lengths: DataFrame) -> DataFrame:
     """conv_id, speaker, stream: the dense text stream of each speaker.
 
     Each token brings the pads before it, and the pieces are strung together in order, so the work is linear in the
-    frames.
+    frames. Lengths come by conversation, so that streams stay in the parts by which their words were dealt.
     """
     cells = slots.select("conv_id", "speaker", F.explode(F.array(
         F.struct(F.col("slot").alias("frame"), F.col("token").cast("int").alias("token")),
@@ -91,7 +96,9 @@ def token_stream(slots: DataFrame, lengths: DataFrame) -> DataFrame:
     packed = cells.withColumn("piece", piece).groupBy("conv_id", "speaker").agg(pieces.alias("pieces"), F.max("c.frame").alias("last"))
     rest = F.array_repeat(F.lit(PAD), F.col("num_frames") - F.col("last") - 1)
     stream = F.concat(F.flatten(F.transform("pieces", lambda x: x["piece"])), rest)
-    return packed.join(lengths, ["conv_id", "speaker"]).select("conv_id", "speaker", stream.alias("stream"))
+    of_all = lengths.where("speaker IS NOT NULL").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("speaker", "num_frames"))).alias("of_all"))
+    sized = packed.join(of_all, "conv_id").withColumn("num_frames", F.try_element_at("of_all", F.col("speaker"))).where("num_frames IS NOT NULL")
+    return sized.select("conv_id", "speaker", stream.alias("stream"))
 
 
 def token_classes(streams: DataFrame) -> DataFrame:

@@ -74,17 +74,18 @@ def _cut_with(more: str, body: str) -> str:
     return sql.cut("").rstrip() + ",\n" + more + "\n" + body
 
 
-def _main_speaker(spark, d):
+def _main_speaker(spark, d, form=lambda row: row):
     streams = _packed(spark, d)
     book = lambda n: F.transform("stream", lambda t, f: F.pmod(hashing.number(f"book{n}", F.col("conv_id"), F.col("speaker"), f), F.lit(2048)).cast("int"))
-    rows = streams.select("conv_id", "speaker", F.array("stream", book(1), book(2)).alias("rows"))
+    rows = streams.select("conv_id", "speaker", F.array(*[form(row) for row in (F.col("stream"), book(1), book(2))]).alias("rows"))
     side = lambda s: F.max(F.when(F.col("speaker") == s, F.col("rows")))
     return examples.main_speaker(rows.groupBy("conv_id").agg(side("A").alias("a"), side("B").alias("b")).where("a IS NOT NULL AND b IS NOT NULL"), ["A", "B"])
 
 
 @query(_cut_with(PAIRS, "SELECT conv_id, speaker, k::INT AS row_no, array_to_string(r[k + 1], ',') AS tokens FROM (SELECT *, unnest(range(0, len(r))) AS k FROM main)"))
 def main_speaker_rows(spark, d):
-    return _main_speaker(spark, d).select("conv_id", "speaker", F.posexplode("rows").alias("row_no", "tokens")).withColumn("tokens", _flat(F.col("tokens")))
+    """Each row is made text once, before both main speakers take it."""
+    return _main_speaker(spark, d, _flat).select("conv_id", "speaker", F.posexplode("rows").alias("row_no", "tokens"))
 
 
 @query(_cut_with(PAIRS + ",\n" + LATE, """SELECT conv_id, speaker, chunk::INT AS chunk, (chunk * q + least(chunk, rest))::INT AS start, k::INT AS row_no,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import arrays, text
-from frameloom.operators import dataset, examples, stats, subwords, words
+from frameloom.operators import dataset, examples, frames, stats, subwords, words
 from frameloom.plans import more
 
 WORD = "conv_id long, word_idx int, speaker string, word string, start_ms long, end_ms long"
@@ -169,3 +169,16 @@ def test_parts_grow_with_the_files(spark, monkeypatch):
     assert larger._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert 20 < larger.rdd.getNumPartitions() < 40
     assert rows == sorted(map(tuple, larger.where("conv_id < 3").collect()))
+
+
+def test_streams_stay_where_their_conversation_is(spark):
+    plan = more.main_speaker_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "speaker#" in line]
+
+
+def test_streams_need_their_length(spark):
+    slots = spark.createDataFrame([(1, "A", 1, 7, None), (1, "B", 2, 8, 1), (2, "A", 0, 9, None)], "conv_id long, speaker string, slot int, token int, epad int")
+    lengths = spark.createDataFrame([(1, "A", 3), (1, "B", 4), (2, "B", 5)], "conv_id long, speaker string, num_frames int")
+    got = {(r.conv_id, r.speaker): r.stream for r in frames.token_stream(slots, lengths).collect()}
+    assert got == {(1, "A"): [3, 7, 3], (1, "B"): [3, 0, 8, 3]}
